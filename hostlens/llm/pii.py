@@ -194,5 +194,8 @@ def joined(spans: Column) -> Column:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = personal_data(docs)
-    n = {f"n_{k.name}": F.size(F.filter("pii", lambda s, k=k: s["kind"] == k.name)).cast("long") for k in BASE}
-    return out.select("doc_id", *[c.alias(a) for a, c in n.items()], F.sha2(joined(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+
+    return out.select("doc_id", *[count(k.name).alias(f"n_{k.name}") for k in BASE], F.sha2(joined(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, sharding
+from . import decontaminate, mixing, perplexity, pii, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_shard_compaction": sharding.op2,
+    "op3_perplexity_rules": perplexity.op3,
     "op5_personal_data": pii.op5,
     "op6_decontaminate": decontaminate.op6,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, perplexity, pii, sharding
+from . import decontaminate, mixing, perplexity, pii, sharding, simhash, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_perplexity_rules": perplexity.op3,
     "op5_personal_data": pii.op5,
     "op6_decontaminate": decontaminate.op6,
+    "op7_token_counts": tokens.op7,
+    "op8_simhash_groups": simhash.op8,
 }
 
 ORACLE_SQL = {

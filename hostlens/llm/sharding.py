@@ -165,15 +165,11 @@ class ShardStore:
             raise ValueError(f"{self.path} has no version yet")
         df = self._rows(now["schema"], [s.file for s in shards])
         name = {c: free_name(df, c) for c in ("shard", "shard_tier", "shard_bytes", "version")}
-        file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-        df = df.withColumn(name["shard"], file if shards else F.lit(None).cast("string"))
-        known = self.spark.createDataFrame(
-            [(s.file, s.tier, s.bytes) for s in shards], f"{name['shard']} string, {name['shard_tier']} int, {name['shard_bytes']} long"
-        )
-        # A row per file of target size: small against the data at any scale, and Spark picks the join by its size.
-        return df.join(known, name["shard"], "left").withColumn(name["version"], F.lit(version).cast("long")).select(
-            *[f"`{c}`" for c in df.columns], name["shard_tier"], name["shard_bytes"], name["version"]
-        )
+        # The scan itself knows each row's file and its size, so nothing has to be joined.
+        file, size = (F.col("_metadata.file_name"), F.col("_metadata.file_size")) if shards else (F.lit(None).cast("string"), F.lit(None).cast("long"))
+        tier = F.when(size < MIN_BYTES, 0).otherwise(F.lit(1) + F.floor(F.log(size / MIN_BYTES) / math.log(self.fanout) + 1e-9)).cast("int")
+        added = [file.alias(name["shard"]), tier.alias(name["shard_tier"]), size.alias(name["shard_bytes"]), F.lit(version).cast("long").alias(name["version"])]
+        return df.select(*[f"`{c}`" for c in df.columns], *added)
 
 
 def sharded(docs: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> ShardStore:

@@ -356,8 +356,8 @@ def suppressed(suppressions: list[Suppression]) -> Column:
     return reduce(lambda a, b: a | b, [matches(_fields(s, SUPPRESS_FIELDS)) for s in suppressions], F.lit(False))
 
 
-def evaluate(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None, suppress: list[Suppression] | None = None) -> DataFrame:
-    """All alerts of a batch of events: candidates of every rule, less the suppressed, after their cooldowns.
+def candidates(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None, suppress: list[Suppression] | None = None) -> DataFrame:
+    """What every rule would alert on, less the suppressed, before cooldowns.
 
     Columns of events that some rules need and events may lack (protocol, group, member, reason) are added as nulls.
     """
@@ -385,9 +385,12 @@ def evaluate(events: DataFrame, s: Settings = Settings(), custom: list[CustomRul
     found = [r() for r in rules if r]
     found = [f.select(*keep, *(["notify"] if "notify" in f.columns else [F.lit(None).cast("boolean").alias("notify")])) for f in found]
     every = reduce(DataFrame.unionByName, found)
-    if suppress:
-        every = every.filter(~suppressed(suppress))
-    return with_cooldown(every, ["rule", "cooldown_key"], s.cooldown_seconds)
+    return every.filter(~suppressed(suppress)) if suppress else every
+
+
+def evaluate(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None, suppress: list[Suppression] | None = None) -> DataFrame:
+    """All alerts of a batch of events: the candidates that their cooldowns let fire."""
+    return with_cooldown(candidates(events, s, custom, suppress), ["rule", "cooldown_key"], s.cooldown_seconds)
 
 
 def alert_events(fired: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def auth_event(ident: Column, pid: Column, msg: Column) -> Column:
     user = group(m, NEW_USER, 1)
     new_user = _account("account.user_created", "User account created: ", user, details={"uid": group(m, NEW_USER, 2)}, keys=keys(tty_key(group(m, NEW_USER, 3))))
     new_group = F.when(m.rlike(NEW_GROUP), _account("account.group_created", "Group created: ", group(m, NEW_GROUP, 1)))
-    found = _first(
+    return _first(
         (ident.isin("sshd", "sshd-session", "sshd.exe"), sshd_event(m)),
         (ident == "sudo", sudo_event(m, pid)),
         (ident == "su", pam_event(m, "su")),
@@ -151,15 +151,13 @@ def auth_event(ident: Column, pid: Column, msg: Column) -> Column:
         (ident == "usermod", F.when(m.rlike(GROUP_ADD), group_add(group(m, GROUP_ADD, 1), group(m, GROUP_ADD, 2)))),
         (ident == "gpasswd", F.when(m.rlike(MEMBER_ADD), group_add(group(m, MEMBER_ADD, 1), group(m, MEMBER_ADD, 3)))),
     )
-    own = F.concat(F.coalesce(found["keys"], F.expr("array()").cast("array<string>")), keys(prefixed("pid", pid)))
-    return F.when(found.isNotNull(), found.withField("keys", own))
 
 
 def auth_events(parsed: DataFrame) -> DataFrame:
-    """Events of lines with ts, ident, tag_pid and msg."""
-    columns = parsed.withColumnRenamed("ts", "_ts")
-    out = events_of(columns, auth_event(F.col("ident"), F.col("tag_pid"), F.col("msg")), F.col("_ts"))
-    return out.drop("_ts", "ident", "tag_pid", "msg")
+    """Events of lines with ts, ident, tag_pid and msg; each has its process as a key."""
+    lines = parsed.withColumnRenamed("ts", "_line_ts")
+    out = events_of(lines, auth_event(F.col("ident"), F.col("tag_pid"), F.col("msg")), F.col("_line_ts"), keys(prefixed("pid", F.col("tag_pid"))))
+    return out.drop("_line_ts", "ident", "tag_pid", "msg")
 
 
 def read_auth_log(lines: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:

@@ -40,10 +40,21 @@ def group(text: Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
-def events_of(lines: DataFrame, found: Column, ts: Column | None = None) -> DataFrame:
-    """The events of lines that have one, with the line's time where the event has none."""
-    out = lines.withColumn("_e", found).filter("_e IS NOT NULL")
-    carried = [c for c in out.columns if c not in (*EVENT.fieldNames(), "_e")]
-    columns = [F.col("_e")[f.name].alias(f.name) for f in EVENT.fields if f.name != "ts"]
-    when = F.coalesce(F.col("_e")["ts"], ts) if ts is not None else F.col("_e")["ts"]
-    return out.select(when.alias("ts"), *columns, *carried).select(*EVENT.fieldNames(), *carried)
+def events_of(lines: DataFrame, found: Column, ts: Column | None = None, more_keys: Column | None = None, more_details: Column | None = None) -> DataFrame:
+    """The events of lines that have one, with the line's time where the event has none.
+
+    more_keys are put after the event's own keys, more_details (a map) into its details. The event is exploded out of
+    an array of none or one: so the optimizer evaluates the parsing once, and not again for the test for null.
+    """
+    extra = {"_ts": ts, "_keys": more_keys, "_details": more_details}
+    kept = [c for c in lines.columns if c not in EVENT.fieldNames()]
+    out = lines.select(*kept, *[v.alias(k) for k, v in extra.items() if v is not None], F.explode(F.array_compact(F.array(found))).alias("_e"))
+    fields = {f.name: F.col(f"_e.{f.name}") for f in EVENT.fields}
+    if ts is not None:
+        fields["ts"] = F.coalesce(fields["ts"], F.col("_ts"))
+    if more_keys is not None:
+        fields["keys"] = F.concat(F.coalesce(fields["keys"], F.expr("array()").cast("array<string>")), F.col("_keys"))
+    if more_details is not None:
+        own = F.coalesce(F.from_json(fields["details"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+        fields["details"] = F.to_json(F.map_concat(own, F.col("_details")))
+    return out.select(*[v.alias(k) for k, v in fields.items()], *kept)

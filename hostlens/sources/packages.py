@@ -42,7 +42,7 @@ def read_dpkg(lines: DataFrame, zone: str = "UTC", column: str = "value") -> Dat
     previous = F.when(action == "package.upgraded", at(4))
     ts = F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", at(0), at(1)), F.lit("yyyy-MM-dd HH:mm:ss")), zone)
     good = action.isNotNull() & at(4).isNotNull() & ts.isNotNull()
-    return events_of(lines, F.when(good, package_event(action, name, version, previous).withField("ts", ts)))
+    return events_of(lines, F.when(good, package_event(action, name, version, previous)), ts)
 
 
 def read_rpm(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -52,4 +52,4 @@ def read_rpm(lines: DataFrame, column: str = "value") -> DataFrame:
     action = _map(RPM, group(F.col(column), p, 2))
     name, version = split_nevra(F.trim(F.regexp_extract(column, p, 3)))
     good = action.isNotNull() & ts.isNotNull()
-    return events_of(lines, F.when(good, package_event(action, name, version, F.lit(None)).withField("ts", ts)))
+    return events_of(lines, F.when(good, package_event(action, name, version, F.lit(None))), ts)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, is_meaningful_ip
-from .authlog import auth_event, login_type
+from ..schema import EVENT
+from .authlog import sshd_event
 from .build import event, events_of, keys, prefixed
 
 # Providers, status codes and account names of the system.
@@ -206,8 +207,10 @@ def map_events(raw: DataFrame, self_pid: int = -1) -> DataFrame:
         (p == SECURITY, security_event(n, self_pid)), ((p == EVENTLOG) & (n == 1102), cleared), ((p == EVENTLOG) & (n == 104), cleared_other), ((p == SERVICES) & (n == 7045), service),
         (p == TERMINAL, terminal_event(n)), ((p == MSI) & n.isin(1033, 1034), msi),
     )
+    note = F.create_map(F.lit("win_event_id"), n.cast("string"))
+    own = events_of(raw.filter(p.isin(SECURITY, EVENTLOG, SERVICES, TERMINAL, MSI)), found, F.col("event_ts"), more_details=note)
+    # What the SSH service says is an ordinary log message.
     payload = F.coalesce(F.try_element_at("data", F.lit("payload")), F.element_at(F.concat(F.array(F.lit("")), "unnamed"), -1))
-    ssh = auth_event(F.lit("sshd"), F.col("event_pid"), F.regexp_replace(payload, r"^sshd\S*?: ", ""))
-    noted = F.to_json(F.map_concat(F.coalesce(F.from_json(found["details"], "map<string,string>"), F.create_map().cast("map<string,string>")), F.create_map(F.lit("win_event_id"), n.cast("string"))))
-    every = F.when(p == OPENSSH, ssh).otherwise(F.when(found.isNotNull(), found.withField("details", noted)).otherwise(F.lit(None).cast(login_type())))
-    return events_of(raw, every, F.col("event_ts")).drop("provider", "event_id", "record_id", "event_ts", "event_pid", "channel", "data", "unnamed")
+    said = raw.filter(p == OPENSSH).withColumn("_msg", F.regexp_replace(payload, r"^sshd\S*?: ", ""))
+    ssh = events_of(said, sshd_event(F.trim("_msg")), F.col("event_ts"), keys(prefixed("pid", F.col("event_pid"))))
+    return own.select(*EVENT.fieldNames()).unionByName(ssh.select(*EVENT.fieldNames()))

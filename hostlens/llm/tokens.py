@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import shared_dir, table
+from .common import free_name, shared_dir, table
 
 LIMIT = 2048
 MEMO = 400_000
 TOKENIZER = "word_bpe_49k.json"
-CACHE = "version string, digest binary, n_tokens long"
+CACHE = "digest binary, n_tokens long"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -128,32 +129,57 @@ def encoded(texts: DataFrame, path: str) -> DataFrame:
 
 
 class TokenCache:
-    """Counts by tokenizer version and digest, in a folder of Parquet files that only ever gains files."""
+    """Counts by tokenizer version and digest: `folder/version=…/batch=…`, a batch for each run that added rows.
+
+    A batch holds a digest once. Only a cache of several batches, which runs at the same time may have filled with the
+    same digests, has to be reduced to one row a digest when it is read; compact() makes one batch of them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, path: str):
-        self.spark, self.folder, self.path = spark, folder, path
+        self.spark, self.path = spark, path
         with open(path, "rb") as f:
             self.version = hashlib.sha256(f.read()).hexdigest()
+        self.folder = f"{folder.rstrip('/')}/version={self.version}"
 
-    def known(self) -> DataFrame | None:
-        """digest and n_tokens of this version; None where the cache has no files yet."""
+    def _batches(self) -> list[str]:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        done = lambda n: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))
+        return [f"{self.folder}/{n}" for n in names if n.startswith("batch=") and done(n)]
+
+    def known(self) -> DataFrame | None:
+        """digest and n_tokens of this version; None where the cache has none yet."""
+        batches = self._batches()
+        if not batches:
             return None
-        rows = self.spark.read.schema(CACHE).parquet(self.folder).filter(F.col("version") == self.version)
-        return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have added the same digest
+        rows = self.spark.read.schema(CACHE).parquet(*batches)
+        return rows if len(batches) == 1 else rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select("digest", "n_tokens").write.parquet(f"{self.folder}/batch={uuid.uuid4().hex}")
+
+    def compact(self) -> None:
+        """Make one batch of all; not while others add to or read the cache."""
+        old, rows = self._batches(), self.known()
+        if len(old) > 1:
+            self.add(rows)
+            for path in old:
+                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def counts(self, docs: DataFrame) -> DataFrame:
         """docs with n_bytes, digest and n_tokens; the texts that the cache lacks are encoded and added to it."""
         text = F.coalesce(F.col("text"), F.lit(""))
-        keyed = docs.withColumns({"n_bytes": F.octet_length(text).cast("long"), "digest": digest(text)})
+        names = {c: free_name(docs, c) for c in ("n_bytes", "n_tokens", "digest")}
+        keyed = docs.withColumns({names["n_bytes"]: F.octet_length(text).cast("long"), names["digest"]: digest(text)})
         misses = docs.select(text.alias("text")).withColumn("digest", digest(F.col("text")))
         known = self.known()
         if known is not None:
             misses = misses.join(known, "digest", "left_anti")
-        rows = encoded(misses, self.path).select(F.lit(self.version).alias("version"), "digest", "n_tokens")
-        rows.write.mode("append").parquet(self.folder)
-        return keyed.join(self.known(), "digest")
+        self.add(encoded(misses, self.path))
+        found = self.known().select(F.col("digest").alias("_digest"), F.col("n_tokens").alias("_n"))
+        return keyed.join(found, keyed[names["digest"]] == found["_digest"]).withColumn(names["n_tokens"], F.col("_n")).drop("_digest", "_n")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

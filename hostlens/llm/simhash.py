@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -236,6 +236,7 @@ def grouped(prints: DataFrame, hot: int = HOT) -> DataFrame:
     reach = components(ids.select(F.col("fp").alias("node"), F.col("least").alias("id")), found)
     ids = ids.join(reach.select(F.col("node").alias("fp"), "id", F.lit(True).alias("linked")), "fp", "left")
     ids = ids.select("fp", F.when(F.col("linked"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    ids = written(ids, "groups")  # so that both sides of the next join come from plain scans and a hot fp can be split
     return prints.join(ids, "fp")
 
 
@@ -256,8 +257,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = chosen.select(F.col("c.doc_id").alias("keep_id"), F.col("c.text_hash").alias("keep_hash")).distinct()
     rows = docs.withColumn(key, F.xxhash64("text"))
     rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["keep_id"]) & (rows[key] == chosen["keep_hash"]), "left_semi")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(key))
     return rows.withColumn(order, rank).filter(F.col(order) == 1).drop(order, key)
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count, written
+from .common import free_name, table, word_count, written
 
 MAX_REPEAT = 3
 
@@ -147,15 +147,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs as one struct beside the columns that mixing reads, so that no column of docs is in its way."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+
+
+def mixed(docs: DataFrame, curriculum: tuple[Share, ...] = CURRICULUM, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """docs with size, source_size, target, taken, pass_words and positions; all documents stay."""
+    rows = _rows(docs)
+    sizes = written(keyed(rows).select("skey", "size", "h"), "mix")
+    out = mix(keyed(rows).drop("text"), sizes, curriculum, max_repeat)
+    added = [F.col(c).alias(free_name(docs, c)) for c in ("size", "source_size", "target", "taken", "pass_words", "positions")]
+    return out.select("row.*", *added)
+
+
+def mixed_documents(docs: DataFrame, curriculum: tuple[Share, ...] = CURRICULUM, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mix itself: a row for each pass over each document it takes, in the order of training.
 
     A last pass that ends within a document takes the whole document if that is at least half of it, else nothing.
     """
-    columns = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id"), F.col("source"), F.col("text"))
-    sizes = written(keyed(row).select("skey", "size", "h"), "mix")
-    out = mix(keyed(row).drop("text"), sizes)
+    rows = _rows(docs)
+    sizes = written(keyed(rows).select("skey", "size", "h"), "mix")
+    out = mix(keyed(rows).drop("text"), sizes, curriculum, max_repeat)
     whole = F.filter(F.arrays_zip("pass_words", "positions"), lambda p: p["pass_words"] * 2 >= F.col("size"))
     out = out.select("row", "doc_id", F.explode(whole).alias("pass"))
     return out.orderBy("pass.positions", "doc_id").select("row.*")

@@ -1,0 +1,87 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from hostlens.llm import pii
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(re.sub("[^0-9]", "", s))]
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d)) % 10 == 0
+
+
+def base(text):
+    """The contract's own patterns and checks."""
+    n = lambda s: len(re.sub("[^0-9]", "", s))
+    checks = {
+        "email": (EMAIL, lambda s: True),
+        "ip": (IP, lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (CARD, lambda s: 12 <= n(s) <= 19 and luhn(s)),
+        "phone": (PHONE, lambda s: 9 <= n(s) <= 15),
+    }
+    found = [(m.start(), k, kind, m.end()) for k, (kind, (p, ok)) in enumerate(checks.items()) for m in re.finditer(p, text or "") if ok(m[0])]
+    return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
+
+
+TEXTS = [
+    None, "", "nothing", "a@b.com_x@y.org @ a@b a@b.c.d.e x@y.z@q.w", "mail ann.o'neil+x@ex-ample.co.uk!", "é@b.com ünï@b.com 😀 a@b.com", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1 1.2.3", "01.02.03.04 and 10.0.0.1:80",
+    "card 4111 1111 1111 1111, 4111-1111-1111-1112 and 378282246310005", "4111111111111111 4111 1111 1111 1111 5", "+1 (743) 555-3824 227.5.221.1 x", "+49 30 1234567 +1 2 +123456789012345678", "+1+2+3 555 1234567", "++1 555 123 4567.",
+    "IBAN DE89 3704 0044 0532 0130 00 ok", "GB82WEST12345698765432 and GB82WEST12345698765433", "ssn 123-45-6789 and 123-45-6789 " + "x" * 60 + " 987-65-4321", "account number 12345678", "x" * 5000 + "@", "1" * 5000, "1." * 3000, "a@b.c" * 300, "😀" * 50 + "10.1.2.3",
+]
+
+
+def test_base_spans_against_the_contract(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: r.pii for r in pii.personal_data(df).collect()}
+    for k, text in enumerate(TEXTS):
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in got[k] if s.base] == base(text), text
+
+
+def test_whole_table_against_the_contract(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = 0
+    for r in pii.op5(spark, sf).collect():
+        want = base(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in ("email", "ip", "card", "phone")]
+        assert set(want) <= set(r.spans.split(","))
+        found += len(want)
+    assert found
+
+
+def kinds(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    return [(s.kind, text[s.start : s.end], s.score) for s in pii.personal_data(df).first().pii]
+
+
+def test_checksums_and_context(spark):
+    assert [k[:2] for k in kinds(spark, "to DE89 3704 0044 0532 0130 00 now")] == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds(spark, "to DE88 3704 0044 0532 0130 00 now") == []
+    assert [k[0] for k in kinds(spark, "her SSN is 123-45-6789")] == ["national_id"]
+    assert kinds(spark, "part 123-45-6789") == []
+    (plain,), (near,) = kinds(spark, "so 4111111111111111"), kinds(spark, "credit card 4111111111111111")
+    assert near[2] > plain[2]
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([("mail a@b.com or +1 555 123 4567!",), (None,)], "text string")
+    assert [r.redacted for r in pii.redacted(df).collect()] == ["mail <email> or <phone>!", ""]
+
+
+def test_edges(spark, edge, nothing, edge_rows):
+    out = pii.personal_data(edge)
+    assert out.count() == len(edge_rows) and out.columns[:-1] == [c for c in edge.columns if c != "pii"]
+    assert pii.personal_data(nothing).count() == 0
+    assert out.filter(F.size("pii") > 0).count() == 0
+
+
+@pytest.mark.parametrize("number, good", [("4111111111111111", True), ("4111111111111112", False), ("0", True), ("18", True)])
+def test_luhn(spark, number, good):
+    assert spark.range(1).select(pii.luhn(F.lit(number)).alias("x")).first().x is good

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.redact import redact
 from ..functions.scalars import truncate_bytes
@@ -19,6 +20,11 @@ from ..sinks.stores import VersionedTable, append_batch
 MOST_COMMAND = 8192
 
 
+def _with_batch(df: DataFrame) -> T.StructType:
+    """df's type and the batch number that its stored rows have as a partition."""
+    return T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
+
+
 @dataclass
 class AuditPipeline:
     """process() is a foreachBatch function over events with flat process columns (see schema.ADAPTED)."""
@@ -42,7 +48,7 @@ class AuditPipeline:
             return
         # Windows look back over stored events, and new sources over all stored logins.
         back = max(5 * self.settings.window_seconds, 2 * self.settings.cooldown_seconds) * 1_000_000
-        stored = spark.read.option("basePath", f"{self.folder}/events").schema(rows.schema.add("batch", "int")).parquet(f"{self.folder}/events")
+        stored = spark.read.option("basePath", f"{self.folder}/events").schema(_with_batch(rows)).parquet(f"{self.folder}/events")
         known = stored.filter((F.col("batch") <= batch) & ((F.col("us") >= first - back) | (F.col("action") == "session.start"))).drop("batch")
         found = rules.candidates(known, self.settings, self.custom, self.suppress).join(rows.select("id"), "id", "left_semi")
         append_batch(self._fired(found, batch), f"{self.folder}/alerts", batch)
@@ -53,7 +59,7 @@ class AuditPipeline:
         if batch == 0 or not self._alerts_before(found.sparkSession, batch):
             return rules.with_cooldown(found, keys, self.settings.cooldown_seconds)
         spark = found.sparkSession
-        old = spark.read.option("basePath", f"{self.folder}/alerts").schema(found.schema.add("batch", "int")).parquet(f"{self.folder}/alerts")
+        old = spark.read.option("basePath", f"{self.folder}/alerts").schema(_with_batch(found)).parquet(f"{self.folder}/alerts")
         last = old.filter(F.col("batch") < batch).groupBy(*keys).agg(F.max("us").alias("us")).withColumn("id", F.lit(None).cast("long"))
         fired = rules.with_cooldown(found.select(*keys, "us", "id").unionByName(last), keys, self.settings.cooldown_seconds)
         return found.join(fired.filter("id IS NOT NULL"), [*keys, "us", "id"], "left_semi")

@@ -21,14 +21,16 @@ from ..session import ship
 # -- keyed state ------------------------------------------------------------------------------------------------------
 
 
-def stream_cooldown(candidates: DataFrame, keys: list[str], seconds: int, ttl_hours: int = 24) -> DataFrame:
+def stream_cooldown(candidates: DataFrame, keys: list[str], seconds: int, ttl_hours: int | None = None) -> DataFrame:
     """The candidates (with us and id) that fire, as rules.with_cooldown has them for rows in order.
 
-    A key's state is the time it last fired; a key that is silent for ttl_hours is forgotten. A row older than that
-    time fires and moves it back, as when a late event is seen after newer ones.
+    A key's state is the time it last fired. With ttl_hours, a key that is silent for so long is forgotten, which makes
+    Spark run batches without data. A row older than the last firing fires and moves it back, as when a late event is
+    seen after newer ones.
     """
     ship(candidates.sparkSession)
     span = seconds * 1_000_000
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_hours else GroupStateTimeout.NoTimeout
 
     def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,10 +44,11 @@ def stream_cooldown(candidates: DataFrame, keys: list[str], seconds: int, ttl_ho
             keep.append(fires)
             last = int(us) if fires else last
         state.update((last,))
-        state.setTimeoutDuration(ttl_hours * 3_600_000)
+        if ttl_hours:
+            state.setTimeoutDuration(ttl_hours * 3_600_000)
         yield rows[keep]
 
-    return candidates.groupBy(*keys).applyInPandasWithState(step, candidates.schema, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return candidates.groupBy(*keys).applyInPandasWithState(step, candidates.schema, T.StructType([T.StructField("last", T.LongType())]), "append", timeout)
 
 
 def stream_sessions(events: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import duration_text, level_for, truncate_bytes
 from ..schema import level_rank, struct_of
 from .ordered import fold
-from .windows import islands
+from .windows import islands, level_timeline
 
 # Default thresholds (warning, critical) and times in seconds.
 THRESHOLDS = {"cpu": (80.0, 95.0), "memory": (85.0, 95.0), "disk": (85.0, 95.0)}
@@ -197,6 +197,17 @@ def incident_severity(during: DataFrame, keys: list[str], level: str = "level")
     return during.groupBy(*keys).agg(F.element_at(F.array(F.lit("normal"), F.lit("warning"), F.lit("critical")), F.coalesce(worst, F.lit(2)) + 1).alias("severity"))
 
 
+def timeline(samples: DataFrame, keys: list[str], level: str = "level", value: str = "value", us: str = "us", tie: str = "id") -> DataFrame:
+    """level_timeline() of samples with their phase, and the fixed marks at both ends: keys, us, description.
+
+    The last mark is at the end of the time after recovery, or where there is none at the end of the incident.
+    """
+    first = samples.filter("phase = 'pre'").groupBy(*keys).agg(F.min(us).alias(us)).withColumn("description", F.lit("Server normal"))
+    ends = samples.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("phase") == "post", F.col(us))), F.max(F.when(F.col("phase") == "during", F.col(us)))).alias(us)).filter(F.col(us).isNotNull())
+    marks = ends.withColumn("description", F.explode(F.array(F.lit("Server normal"), F.lit("Investigation completed"))))
+    return level_timeline(samples, keys, level, value, us, tie).unionByName(first).unionByName(marks)
+
+
 def report(incidents: DataFrame, server: str = "") -> DataFrame:
     """Incidents (host, kind, start_us, end_us, recovered_us, probable_cause, …) as report rows.
 

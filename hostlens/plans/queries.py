@@ -775,6 +775,22 @@ def worst_alert_level(spark, d):
     return per.groupBy("user_id").agg(levels.alias("levels")).select("user_id", incidents.worst_level(F.col("levels")).alias("worst"))
 
 
+@query(
+    _INC_SQL
+    + f""", le AS (SELECT *, CASE WHEN value >= {_CRIT} THEN 'critical' WHEN value >= {_WARN} THEN 'warning' ELSE 'normal' END AS level FROM ph),
+ol AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY user_id ORDER BY us, id), 'normal') AS old FROM le),
+en AS (SELECT user_id, coalesce(max(us) FILTER (phase = 'post'), max(us) FILTER (phase = 'during')) AS us FROM ph GROUP BY user_id)
+SELECT user_id, us, CASE WHEN level = 'warning' AND old = 'normal' THEN 'Resource warning' WHEN level = 'critical' THEN 'Critical threshold crossed' WHEN level = 'warning' THEN 'Resource level decreased to warning' ELSE 'Recovery started' END AS description FROM ol WHERE level <> old
+UNION ALL SELECT user_id, min(us), 'Investigation started' FROM le WHERE level = 'critical' GROUP BY user_id
+UNION ALL SELECT user_id, us, 'Peak activity' FROM (SELECT * FROM le QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, us) = 1)
+UNION ALL SELECT user_id, min(us), 'Server normal' FROM ph WHERE phase = 'pre' GROUP BY user_id
+UNION ALL SELECT user_id, us, d FROM en, (VALUES ('Server normal'), ('Investigation completed')) v(d) WHERE us IS NOT NULL""",
+    audit=False,
+)
+def incident_timeline(spark, d):
+    return incidents.timeline(_phased(spark, d).withColumn("level", S.level_for(F.col("value"), _WARN, _CRIT)), ["user_id"])
+
+
 @query(f"WITH {_METRIC}, tr AS (SELECT user_id, min(us) AS trigger_us FROM me WHERE value >= 80 GROUP BY user_id) SELECT me.id, trigger_us FROM me JOIN tr USING (user_id) WHERE us < trigger_us AND us >= trigger_us - 86400000000", audit=False)
 def history_before_trigger(spark, d):
     m = _metrics(spark, d)
@@ -943,6 +959,103 @@ def next_incident_number(spark, d):
     return next_incident(names, 2024)
 
 
+# -- parsers ---------------------------------------------------------------------------------------------------------
+
+_STAMP = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+def _lines(spark, d, body) -> DataFrame:
+    """A log line for each event of the driver's, with its time."""
+    e = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select("event_id", body.alias("value"))
+
+
+def _line(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+@query("""SELECT event_id, epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 'auth.failure' WHEN 'signup' THEN 'session.start' WHEN 'purchase' THEN 'privilege.sudo' ELSE 'account.user_created' END AS action,
+CASE event_type WHEN 'click' THEN NULL ELSE 'u' || user_id END AS "user", CASE WHEN event_type IN ('error', 'signup') THEN '192.0.2.' || user_id % 250 END AS src_ip, CASE event_type WHEN 'click' THEN 'u' || user_id END AS target,
+CASE event_type WHEN 'purchase' THEN '/bin/cat /srv/' || event_id END AS command_line, ['pid:' || event_id % 1000] AS keys FROM events WHERE event_type <> 'view' AND NOT (event_type = 'error' AND event_id % 2 = 0)""", audit=False)
+def parse_auth_log(spark, d):
+    from ..sources.authlog import read_auth_log
+
+    u, i = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_id").cast("string")
+    ip, pid = F.concat(F.lit("192.0.2."), (F.col("user_id") % 250).cast("string")), (F.col("event_id") % 1000).cast("string")
+    invalid = F.when(F.col("event_id") % 2 == 0, "invalid user ").otherwise("")
+    body = F.when(F.col("event_type") == "error", _line(" h sshd[", pid, "]: Failed password for ", invalid, u, " from ", ip, " port 22 ssh2"))
+    body = body.when(F.col("event_type") == "signup", _line(" h sshd-session[", pid, "]: Accepted password for ", u, " from ", ip, " port 22 ssh2"))
+    body = body.when(F.col("event_type") == "purchase", _line(" h /usr/bin/sudo[", pid, "]:   ", u, " : PWD=x ; TTY=unknown ; PWD=/srv ; USER=root ; COMMAND=/bin/cat /srv/", i))
+    body = body.when(F.col("event_type") == "click", _line(" h useradd[", pid, "]: new user: name=", u, ", UID=", i, ", GID=1")).otherwise(_line(" h cron[", pid, "]: noise: ", u))
+    sudo = F.replace(body, F.lit("PWD=x ; "), F.lit(""))
+    out = read_auth_log(_lines(spark, d, F.concat(S.format_ts(F.col("ts")), sudo)).repartition(2), F.to_timestamp(F.lit("2024-02-01T00:00:00Z")))
+    return out.select("event_id", F.unix_micros("ts").alias("us"), "action", "user", "src_ip", "target", F.col("process.command_line").alias("command_line"), "keys")
+
+
+@query("""SELECT event_id, epoch_us(ts) AS us, 'u' || user_id AS "user", '2001:db8::' || user_id AS src_ip, 'c' || event_id AS cursor FROM events WHERE event_type IN ('error', 'signup')""", audit=False)
+def parse_journal(spark, d):
+    from ..sources.journal import read_journal
+
+    u = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    msg = _line("Invalid user ", u, " from 2001:db8::", F.col("user_id").cast("string"), " port 22")
+    entry = F.struct(msg.alias("MESSAGE"), F.when(F.col("event_type") == "error", "sshd").when(F.col("event_type") == "signup", "sshd-session").otherwise("kernel").alias("SYSLOG_IDENTIFIER"), F.unix_micros("ts").cast("string").alias("__REALTIME_TIMESTAMP"), _line("c", F.col("event_id").cast("string")).alias("__CURSOR"))
+    out = read_journal(_lines(spark, d, F.to_json(entry)))
+    return out.select("event_id", F.unix_micros("ts").alias("us"), "user", "src_ip", "cursor")
+
+
+@query("""SELECT event_id, epoch_us(date_trunc('second', ts)) AS us, CASE event_id % 4 WHEN 0 THEN 'package.installed' WHEN 1 THEN 'package.upgraded' ELSE 'package.removed' END AS action, 'pkg' || user_id AS target,
+CASE event_id % 4 WHEN 0 THEN '{"version":"2.' || user_id || '"}' WHEN 1 THEN '{"version":"2.' || user_id || '","previous_version":"1.0"}' ELSE '{"version":"1.0"}' END AS details FROM events WHERE event_id % 4 < 3""", audit=False)
+def parse_dpkg_log(spark, d):
+    verb = F.element_at(F.array(*[F.lit(x) for x in ("install", "upgrade", "purge", "status")]), (F.col("event_id") % 4 + 1).cast("int"))
+    u = F.col("user_id").cast("string")
+    out = packages.read_dpkg(_lines(spark, d, _line(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " ", verb, " pkg", u, ":amd64 1.0 2.", u)))
+    return out.select("event_id", F.unix_micros("ts").alias("us"), "action", "target", "details")
+
+
+@query("""SELECT event_id, epoch_us(date_trunc('second', ts)) AS us, CASE event_id % 3 WHEN 0 THEN 'package.upgraded' ELSE 'package.removed' END AS action, 'lib-' || user_id || '-x' AS target FROM events WHERE event_id % 3 < 2""", audit=False)
+def parse_rpm_log(spark, d):
+    verb = F.element_at(F.array(*[F.lit(x) for x in ("Upgrade", "Erase", "Upgraded")]), (F.col("event_id") % 3 + 1).cast("int"))
+    out = packages.read_rpm(_lines(spark, d, _line(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "+0000 SUBDEBUG ", verb, ": lib-", F.col("user_id").cast("string"), "-x-1:2.0-1.el9.x86_64")))
+    return out.select("event_id", F.unix_micros("ts").alias("us"), "action", "target")
+
+
+@query("""SELECT event_id, epoch_us(date_trunc('minute', ts)) AS us, 'u' || user_id AS "user", CASE event_id % 3 WHEN 0 THEN '192.0.2.7' END AS src_ip, ['pid:' || event_id, CASE event_id % 3 WHEN 0 THEN 'tty:pts/1' ELSE 'tty:tty2' END] AS keys FROM events WHERE event_id % 3 < 2""", audit=False)
+def parse_who(spark, d):
+    k = F.col("event_id") % 3
+    tty = F.when(k == 1, "tty2").otherwise("pts/1")
+    note = F.when(k == 0, " (192.0.2.7)").when(k == 2, " (tmux(1).%0)").otherwise("")
+    text = _line("u", F.col("user_id").cast("string"), "  ", tty, "   ", F.date_format("ts", "yyyy-MM-dd HH:mm"), "   .   ", F.col("event_id").cast("string"), note)
+    out = hosts.read_who(_lines(spark, d, text), F.to_timestamp(F.lit("2024-02-01T00:00:00Z")))
+    return out.select("event_id", F.unix_micros("ts").alias("us"), "user", "src_ip", "keys")
+
+
+@query("""SELECT event_id, 'p (' || user_id || ')' AS name, user_id AS ppid, 34816 + event_id % 9 AS tty_nr FROM events""", audit=False)
+def parse_proc_stat(spark, d):
+    u, i = F.col("user_id").cast("string"), F.col("event_id")
+    stat = _line(i.cast("string"), " (p (", u, ")) S ", u, " 1 1 ", (34816 + i % 9).cast("string"), F.lit(" 0" * 25))
+    p = hosts.parse_stat(F.col("value"))
+    return _lines(spark, d, stat).select("event_id", p.alias("p")).select("event_id", "p.name", "p.ppid", "p.tty_nr")
+
+
+@query("""SELECT epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 'auth.failure' WHEN 'signup' THEN 'session.start' WHEN 'click' THEN 'service.installed' ELSE 'session.end' END AS action,
+CASE WHEN event_type IN ('error', 'signup') THEN 'CORP' || chr(92) || 'u' || user_id END AS "user", CASE event_type WHEN 'click' THEN 'svc & ' || event_id END AS target, CASE WHEN event_type IN ('signup', 'purchase') THEN ['logon:0x' || event_id] END AS keys FROM events WHERE event_type <> 'view'""", audit=False)
+def parse_windows_events(spark, d):
+    from ..sources import winevents
+
+    t, i = F.col("event_type"), F.col("event_id").cast("string")
+    code = F.when(t == "error", "4625").when(t == "signup", "4624").when(t == "purchase", "4634").when(t == "click", "7045").otherwise("1")
+    provider = F.when(t == "click", winevents.SERVICES).otherwise(winevents.SECURITY)
+    field = lambda n, v: _line(f"<Data Name='{n}'>", v, "</Data>")
+    data = _line(
+        field("TargetUserName", _line("u", F.col("user_id").cast("string"))), field("TargetDomainName", "CORP"), field("LogonType", "10"), field("LogonProcessName", "User32"), field("IpAddress", "192.0.2.9"), field("TargetLogonId", _line("0x", i)),
+        field("Status", "0xC000006D"), field("ServiceName", _line("svc &amp; ", i)),
+    )
+    xml = _line("<Event xmlns='http://x'><System><Provider Name='", provider, "'/><EventID>", code, "</EventID><TimeCreated SystemTime='", S.format_ts(F.col("ts")), "'/></System><EventData>", data, "</EventData></Event>")
+    out = winevents.map_events(winevents.read_event_xml(_lines(spark, d, xml), "value"))
+    keys = F.when(F.size("keys") > 0, F.col("keys"))
+    return out.select(F.unix_micros("ts").alias("us"), "action", "user", "target", keys.alias("keys"))
+
+
 # -- sinks -----------------------------------------------------------------------------------------------------------
 
 

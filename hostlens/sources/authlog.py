@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -160,5 +161,15 @@ def auth_events(parsed: DataFrame) -> DataFrame:
     return out.drop("_line_ts", "ident", "tag_pid", "msg")
 
 
+def choose_source(explicit: str | None, has_journal: bool, root: str = "/") -> str | None:
+    """Where a host keeps its authentication log: the given path, else auth.log, secure, the journal, or nothing."""
+    if explicit:
+        return explicit
+    for name in ("var/log/auth.log", "var/log/secure"):
+        if os.path.exists(os.path.join(root, name)):
+            return os.path.join(root, name)
+    return "journal" if has_journal else None
+
+
 def read_auth_log(lines: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:
     return auth_events(syslog_lines(lines, now, zone))

@@ -86,3 +86,28 @@ def test_report(spark):
     assert [got[h].incident_id for h in ("h", "g")] == ["INC-1970-000001", "INC-1970-000002"]
     assert (got["h"].duration_seconds, got["h"].degraded_seconds, got["h"].impact) == (100, 70, "A cpu incident of about 1m 40s")
     assert I.incident_events(I.report(i)).count() == 2
+
+
+def test_pages(spark):
+    from hostlens.sinks import reports
+
+    i = I.report(spark.createDataFrame([("h", "cpu", 0, 100 * S, 70 * S, "<db>")], "host string, kind string, start_us long, end_us long, recovered_us long, probable_cause string"))
+    t = spark.createDataFrame([(2, "Peak & end"), (1, "Start")], "us long, description string")
+    page = reports.incident_report(i, "INC-1970-000001", timeline=t)
+    assert "&lt;db&gt;" in page and page.index("Start") < page.index("Peak &amp; end")
+    with pytest.raises(KeyError):
+        reports.incident_report(i, "none")
+    s = spark.createDataFrame([("S1", "ann", "192.0.2.1", "ssh", "ended", 0, 65 * S, 60 * S, 1, 2, 3, 0, 3)], "id string, user string, src_ip string, protocol string, status string, start_us long, end_us long, last_us long, commands long, privileged long, file_changes long, alerts long, max_severity int")
+    e = spark.createDataFrame([(1, 5, "S1", 3, "a", "<x>"), (2, 6, "S2", 0, "b", "other")], "id long, us long, session_id string, severity int, action string, message string")
+    page = reports.session_report(s, e, "S1")
+    assert "1m 5s" in page and "risk: 55" in page and "&lt;x&gt;" in page and "other" not in page
+
+
+def test_source_choice(tmp_path):
+    from hostlens.sources.authlog import choose_source
+
+    assert choose_source("/x", True) == "/x"
+    assert choose_source(None, True, str(tmp_path)) == "journal" and choose_source(None, False, str(tmp_path)) is None
+    (tmp_path / "var/log").mkdir(parents=True)
+    (tmp_path / "var/log/secure").touch()
+    assert choose_source(None, True, str(tmp_path)).endswith("secure")

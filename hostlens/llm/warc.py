@@ -226,7 +226,8 @@ def with_revisits(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     keyed = pages.select("page_id", F.col("url").alias("uri"), payload.alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
     # The smallest id of each payload, aggregated before the shuffle; nulls do not count.
-    first = pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"))
+    # Written, so that the join's sides come from plain scans and Spark can split a hot payload's rows.
+    first = written(pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first")), "payloads")
     out = keyed.join(first, "digest")
     again = (F.octet_length("html") >= least) & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))) & F.col("first").isNotNull()
     return out.select("page_id", "uri", "html", F.when(again, F.col("first")).alias("refers_to"))

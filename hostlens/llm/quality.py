@@ -36,7 +36,7 @@ TRAIN_PASSAGES = 24
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 60, 128, 0.01, 1e-4, 7
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 MARKS = b"|!*.,\"=-"
 FEATURES = CLASSES + len(MARKS) + 4 + 3  # character classes, marks, what words show, lengths
 

@@ -110,6 +110,22 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([out, full[:, None]], 1).astype(np.float32), doc
 
 
+def encoded(data: np.ndarray, at: np.ndarray, most: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """passages(); one text of more than `most` bytes is encoded in pieces that begin with a passage's first word."""
+    if len(at) != 2 or len(data) <= most:
+        return passages(data, at)
+    cls = CLASS_OF[data]
+    white = (cls == SPACE) | (cls == LINE)
+    first = ~white
+    first[1:] &= white[:-1]
+    words = np.flatnonzero(first)
+    step = max(1, most // 8 // PASSAGE) * PASSAGE
+    cuts = [0, *words[step::step].tolist(), len(data)]
+    parts = [passages(data[a:b], np.array([0, b - a], np.int64))[0] for a, b in zip(cuts, cuts[1:], strict=False)]
+    x = np.concatenate(parts)
+    return x, np.zeros(len(x), np.int64)
+
+
 @dataclass
 class Attention:
     """The fitted network; see `weights` for its shapes."""
@@ -221,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
             ids, label = b.column("doc_id").to_pylist(), b.column("label").to_pylist()
             rows: list[list] = [[], [], []]
             for start, _, data, at in _parts(b, "text"):
-                x, doc = passages(data, at)
+                x, doc = encoded(data, at)
                 for k in range(len(at) - 1):
                     own_rows = x[np.searchsorted(doc, k) : np.searchsorted(doc, k + 1)]
                     if len(own_rows) > TRAIN_PASSAGES:
@@ -251,7 +267,7 @@ def scored(docs: DataFrame, net: Attention, name: str = "score", keep_text: bool
         for b in batches:
             out = [np.zeros(0)]
             for start, end, data, at in _parts(b, "text"):
-                x, doc = passages(data, at)
+                x, doc = encoded(data, at)
                 out.append(sent.value.score(x.astype(np.float64), doc, end - start))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(np.round(np.concatenate(out), 9))], [*names, name])
 

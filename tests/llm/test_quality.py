@@ -30,6 +30,13 @@ def test_a_batch_does_not_change_a_text():
         assert np.allclose(x[doc == k], own)
 
 
+def test_a_long_text_in_pieces():
+    data, at = utf8(pa.array(["  Some TEXT with été, " + "word Word w\n" * 3000 + " end "]))
+    x, doc = Q.encoded(data, at, 5000)
+    whole, _ = Q.passages(data, at)
+    assert np.allclose(x, whole) and len(x) > 60 and not doc.any()
+
+
 def test_attention_finds_the_passage_that_decides():
     g = np.random.default_rng(1)
     bags, y = [], []

@@ -1,9 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust their score.
 
-Each kind has a pattern, a check and a base score; context words within `WINDOW` characters before a span raise the
-score, words that name something else lower it. Spans that reach `THRESHOLD` are reported. Email, ip, card and phone
-spans that pass their check always reach it; iban (mod-97) does on its checksum, and national ids and bank account
-numbers, which have no checksum, only with a context word.
+Each kind has a pattern, a check and a base score. Context words within `WINDOW` characters before a span, back to the
+match before it, raise the score; words that name something else lower it. Spans that reach `THRESHOLD` are reported.
+Email, ip, card and phone spans that pass their check always reach it; iban (mod-97) does on its checksum, and national
+ids and bank account numbers, which have no checksum, only with a context word.
 
 Positions come from splitting the text at the matches: with the gaps and the matches as two arrays, a match starts
 where the lengths so far add up to. Patterns start only where the run they look for starts, so that long runs are read
@@ -106,29 +106,50 @@ def worth(text: Column, kind: Kind) -> Column:
     return F.contains(text, F.lit(kind.needs)) if kind.needs else text.rlike(QUICK[kind.name])
 
 
-def placed(text: Column, hits: Column, kind: Kind) -> Column:
-    """array<struct<start, end, m>> of the matches that pass the check; start and end are zero-based code points."""
-    # Splitting leaves one gap before each match and one at the end; running lengths give the positions.
-    gaps = F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(gaps, hits, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,end:int,m:string>>").alias("spans"))
+BLOCK = 256
+
+
+def pairs(text: Column, hits: Column, kind: Kind) -> Column:
+    """array<struct<gap, near, m>>: the length before each match, the last of what is there in lower case, and the match;
+    a last one without a match."""
+    near = lambda g: F.lower(F.substring(g, -WINDOW, WINDOW)).alias("near")
+    return F.when(F.size(hits) > 0, F.zip_with(F.split(text, kind.pattern, -1), hits, lambda g, m: F.struct(F.length(g).alias("gap"), near(g), m.alias("m"))))
+
+
+def placed(found: Column, kind: Kind) -> Column:
+    """array<struct<start, end, near>> of the matches that pass the check; start and end are zero-based code points.
+
+    found is a column of pairs. Running lengths give the positions. An array that grows by one element is copied each
+    time, so they are added up in blocks: first over the blocks, then inside each.
+    """
+    none = F.expr("array()").cast("array<struct<start:int,end:int,near:string>>")
+
+    def block(b: Column) -> Column:
+        return F.slice(found, b * BLOCK + 1, F.lit(BLOCK))
+
+    def width(p: Column) -> Column:
+        return p["gap"] + F.coalesce(F.length(p["m"]), F.lit(0))
 
     def step(a: Column, p: Column) -> Column:
-        s = a["at"] + p["gap"]
-        e = s + F.coalesce(F.length(p["m"]), F.lit(0))
-        span = F.struct(s.alias("start"), e.alias("end"), p["m"].alias("m"))
+        s, e = a["at"] + p["gap"], a["at"] + width(p)
+        span = F.struct(s.alias("start"), e.alias("end"), p["near"].alias("near"))
         good = p["m"].isNotNull() & kind.confirmed(p["m"])
         return F.struct(e.alias("at"), F.when(good, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, empty, step, lambda a: a["spans"]))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+    widths = F.transform(numbers, lambda b: F.aggregate(block(b), F.lit(0), lambda a, p: a + width(p)))
+    first = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<int>").alias("starts"))
+    starts = F.aggregate(widths, first, lambda a, w: F.struct((a["at"] + w).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+    each = F.zip_with(numbers, starts, lambda b, s: F.aggregate(block(b), F.struct(s.alias("at"), none.alias("spans")), step, lambda a: a["spans"]))
+    return F.when(F.size(found) > 0, F.flatten(each))
 
 
-def scored(text: Column, spans: Column, kind: Kind, threshold: float) -> Column:
+def scored(spans: Column, kind: Kind, threshold: float) -> Column:
     """SPANS of one kind with their scores; null where there are none. Base kinds do not need the threshold."""
     rank, base = [k.name for k in KINDS].index(kind.name), kind in BASE
 
     def one(s: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))))
+        near = s["near"]
         up = F.when(near.rlike(kind.raised_by), RAISE).otherwise(0.0) if kind.raised_by else F.lit(0.0)
         down = F.when(near.rlike(kind.lowered_by), LOWER).otherwise(0.0) if kind.lowered_by else F.lit(0.0)
         score = F.least(F.lit(1.0), F.lit(kind.score) + up - down)
@@ -153,13 +174,14 @@ QUICK = {
 def personal_data(docs: DataFrame, column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with pii, the spans that reach the threshold, by start and then kind as listed."""
     names = docs.columns
-    text, hits, spans, every = (free_name(docs, f"pii_{x}") for x in ("text", "hits", "spans", "every"))
+    text, hits, gaps, spans, every = (free_name(docs, f"pii_{x}") for x in ("text", "hits", "gaps", "spans", "every"))
     # Each step is a projection of its own, as its columns are used more than once by the next.
     out = docs.withColumn(text, F.coalesce(F.col(column), F.lit("")))
     out = out.withColumns({f"{hits}_{k.name}": F.when(worth(F.col(text), k), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))) for k in KINDS})
-    out = out.withColumns({f"{spans}_{k.name}": placed(F.col(text), F.col(f"{hits}_{k.name}"), k) for k in KINDS})
+    out = out.withColumns({f"{gaps}_{k.name}": pairs(F.col(text), F.col(f"{hits}_{k.name}"), k) for k in KINDS})
+    out = out.withColumns({f"{spans}_{k.name}": placed(F.col(f"{gaps}_{k.name}"), k) for k in KINDS})
     none = F.expr("array()").cast(SPANS)
-    found = F.concat(*[F.coalesce(scored(F.col(text), F.col(f"{spans}_{k.name}"), k, threshold), none) for k in KINDS])
+    found = F.concat(*[F.coalesce(scored(F.col(f"{spans}_{k.name}"), k, threshold), none) for k in KINDS])
     out = out.withColumn(every, found)
     order = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
 

@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust their score.
 
-Each kind has a pattern, a check and a base score. Context words within `WINDOW` characters before a span, back to the
-match before it, raise the score; words that name something else lower it. Spans that reach `THRESHOLD` are reported.
+Each kind has a pattern, a check and a base score. Context words within `WINDOW` characters before or after a span,
+other matches included, raise the score; words that name something else lower it. Spans that reach `THRESHOLD` are reported.
 Email, ip, card and phone spans that pass their check always reach it; iban (mod-97) does on its checksum, and national
 ids and bank account numbers, which have no checksum, only with a context word.
 
@@ -110,10 +110,29 @@ BLOCK = 256
 
 
 def pairs(text: Column, hits: Column, kind: Kind) -> Column:
-    """array<struct<gap, near, m>>: the length before each match, the last of what is there in lower case, and the match;
-    a last one without a match."""
-    near = lambda g: F.lower(F.substring(g, -WINDOW, WINDOW)).alias("near")
-    return F.when(F.size(hits) > 0, F.zip_with(F.split(text, kind.pattern, -1), hits, lambda g, m: F.struct(F.length(g).alias("gap"), near(g), m.alias("m"))))
+    """array<struct<gap, tail, head, m, at>>: the length before each match, the last and first of what is there in lower
+    case, the match and its index; a last one without a match."""
+
+    def one(g: Column, m: Column) -> Column:
+        tail, head = F.lower(F.substring(g, -WINDOW, WINDOW)), F.lower(F.substring(g, 1, WINDOW))
+        return F.struct(F.length(g).alias("gap"), tail.alias("tail"), head.alias("head"), m.alias("m"))
+
+    found = F.transform(F.zip_with(F.split(text, kind.pattern, -1), hits, one), lambda p, k: F.struct(p["gap"], p["tail"], p["head"], p["m"], k.alias("at")))
+    return F.when(F.size(hits) > 0, found)
+
+
+#: A match has two characters at least and one between it and the next, or three: so many of them fill the window.
+AROUND = 20
+
+
+def context(found: Column, p: Column) -> Column:
+    """The WINDOW characters before and after p, one of the pairs in found, in lower case."""
+    low = F.greatest(p["at"] - AROUND, F.lit(0))
+    match = lambda q, start: F.lower(F.coalesce(F.substring(q["m"], start, WINDOW), F.lit("")))
+    before = F.transform(F.slice(found, low + 1, p["at"] - low), lambda q: F.concat(q["tail"], match(q, -WINDOW)))
+    after = F.transform(F.slice(found, p["at"] + 2, F.lit(AROUND)), lambda q: F.concat(q["head"], match(q, 1)))
+    before, after = F.concat(F.array_join(before, ""), p["tail"]), F.array_join(after, "")
+    return F.concat(F.substring(before, -WINDOW, WINDOW), F.lit("\n"), F.substring(after, 1, WINDOW))
 
 
 def placed(found: Column, kind: Kind) -> Column:
@@ -132,7 +151,7 @@ def placed(found: Column, kind: Kind) -> Column:
 
     def step(a: Column, p: Column) -> Column:
         s, e = a["at"] + p["gap"], a["at"] + width(p)
-        span = F.struct(s.alias("start"), e.alias("end"), p["near"].alias("near"))
+        span = F.struct(s.alias("start"), e.alias("end"), context(found, p).alias("near"))
         good = p["m"].isNotNull() & kind.confirmed(p["m"])
         return F.struct(e.alias("at"), F.when(good, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 

@@ -85,3 +85,21 @@ def test_edges(spark, edge, nothing, edge_rows):
 @pytest.mark.parametrize("number, good", [("4111111111111111", True), ("4111111111111112", False), ("0", True), ("18", True)])
 def test_luhn(spark, number, good):
     assert spark.range(1).select(pii.luhn(F.lit(number)).alias("x")).first().x is good
+
+
+def test_context_of_lists_and_after_a_span(spark):
+    def of(text, kind):
+        return [m for k, m, _ in kinds(spark, text) if k == kind]
+
+    assert of("SSN: 123-45-6789, 987-65-4321", "national_id") == ["123-45-6789", "987-65-4321"]
+    assert of("account number 12345678, 87654321", "account") == ["12345678", "87654321"]
+    assert of("123-45-6789 is the SSN", "national_id") == ["123-45-6789"]
+    assert of("12345678, 87654321 (account number)", "account") == ["12345678", "87654321"]
+    assert of("SSN " + "x" * 40 + " 123-45-6789 " + "x" * 40 + " SSN", "national_id") == []
+
+
+def test_context_across_blocks_is_that_of_the_running_text(spark):
+    text = " ".join("ssn" * (k % 7 == 0) + f"{k % 900 + 100}-45-6789" for k in range(700))
+    at = [m.span() for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text)]
+    want = [text[a:b] for a, b in at if "ssn" in text[max(0, a - 40) : a] or "ssn" in text[b : b + 40]]
+    assert len(want) < len(at) and [m for k, m, _ in kinds(spark, text) if k == "national_id"] == want

@@ -32,7 +32,26 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Countries by the length of their IBANs, so that a match takes in nothing that follows.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    def rest(n: int) -> str:
+        return rf"(?:[\x20]?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"[\x20]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    each = [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}{rest(n)}" for n, c in IBAN_LENGTHS.items()]
+    # Countries that are not listed: any length, as the checksum decides.
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]{{4}}){{2,7}}(?:[\x20]?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(each)}|{other})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![0-9])[0-9]{8,11}(?![0-9])"
 
@@ -205,9 +224,9 @@ def personal_data(docs: DataFrame, column: str = "text", threshold: float = THRE
     order = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
 
     def on_base(s: Column) -> Column:
-        return F.exists(every, lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.exists(every, lambda b: b["base"] & (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
 
-    # A base span stays; another kind's span that lies on one says nothing new.
+    # A base span stays; another kind's span that lies inside one says nothing new, one that reaches outside does.
     pii = F.when(F.size(every) > 1, F.filter(order, lambda s: s["base"] | ~on_base(s))).otherwise(F.col(every))
     return out.select(*[f"`{c}`" for c in names if c.lower() != "pii"], pii.alias("pii"))
 

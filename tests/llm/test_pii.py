@@ -103,3 +103,26 @@ def test_context_across_blocks_is_that_of_the_running_text(spark):
     at = [m.span() for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text)]
     want = [text[a:b] for a, b in at if "ssn" in text[max(0, a - 40) : a] or "ssn" in text[b : b + 40]]
     assert len(want) < len(at) and [m for k, m, _ in kinds(spark, text) if k == "national_id"] == want
+
+
+def iban(country, body):
+    """An IBAN with its check digits."""
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{body}"
+
+
+def test_an_iban_ends_at_its_countrys_length(spark):
+    def of(text):
+        return [m for k, m, _ in kinds(spark, text) if k == "iban"]
+
+    assert of("ES91 2100 0418 4502 0005 1332 BIC CAIXESBB") == ["ES91 2100 0418 4502 0005 1332"]
+    assert of("DE89 3704 0044 0532 0130 00 2024") == ["DE89 3704 0044 0532 0130 00"]
+    assert of("BE68 5390 0754 7034 EUR, GB82WEST12345698765432 ABCD") == ["BE68 5390 0754 7034", "GB82WEST12345698765432"]
+    bodies = [iban(c, "1" * (n - 4)) for n, cs in pii.IBAN_LENGTHS.items() for c in cs.split()]
+    assert of("; ".join(f"{x} TO 12" for x in bodies)) == bodies
+
+
+def test_an_iban_that_reaches_outside_a_card_number_stays(spark):
+    text = next(t for k in range(100, 200) if base(t := iban("AT", f"{k}0000000000000")))
+    assert [k for k, m, _ in kinds(spark, text)] == ["iban", "card"]
+    assert pii.redacted(spark.createDataFrame([(text,)], "text string")).first().redacted == "<iban>"

@@ -5,10 +5,12 @@ others are revisits that name it. A task packs its records into archives of abou
 record, under a name that no other attempt uses, and returns a manifest row for each archive it has closed. Only
 archives in the manifest are read, so files of attempts that were lost or repeated do no harm.
 
-Reading: a task reads an archive through a buffer. A record is checked: its member inflates and passes its CRC, its
+Reading: a task reads an archive through a window. A record is checked: its member inflates and passes its CRC, its
 version line and headers parse, its block has Content-Length bytes, its payload has the digest it names. After a
 failed check the reader searches for the next valid gzip member, or in a plain archive for the next version line,
-recovers what follows, and reports the bytes between as a quarantined gap.
+recovers what follows, and reports the bytes between as a quarantined gap. Headers and blocks may have any length; a
+task holds the window and one record, and a damaged length makes it read nothing more. `quarantined` writes the gaps
+of a reading to a table of their own.
 
 Defined results: a null html counts as an empty payload; rows without a page_id take part with the id null, which is
 not smaller than any other; rows that repeat the response's page_id and payload are responses themselves; an empty
@@ -33,11 +35,14 @@ from ..session import ship
 from .common import shared_dir, table, written
 
 VERSION = b"WARC/1.1"
+VERSIONS = (VERSION, b"WARC/1.0")
+END = b"\r\n\r\n"
 ARCHIVE_BYTES = 64 << 20
 LEAST_PAYLOAD = 0
 GZIP = b"\x1f\x8b\x08"
 READ = 1 << 20
-MOST_HEADER = 1 << 16
+#: No row of Spark could carry a larger record, so a member that inflates beyond it is a gap.
+MOST_RECORD = 1 << 31
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, records long, bytes long"
 RECORDS = (
@@ -90,13 +95,13 @@ class Found:
         return self.block.partition(b"\r\n\r\n")[2]
 
 
-def parse(data: bytes) -> tuple[Found, int]:
-    """The record at the start of data, which must hold all of it, and its length."""
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
-    if not data.startswith(b"WARC/") or end < 0:
-        raise Bad("no version line or no end of headers")
+def headers_of(head: bytes) -> tuple[dict[str, str], int]:
+    """The headers of a record, from its version line up to the empty line, and the Content-Length they state."""
+    lines = head.split(b"\r\n")
+    if lines[0] not in VERSIONS:
+        raise Bad("no version line")
     headers: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in lines[1:]:
         name, sep, value = line.partition(b":")
         if not sep:
             raise Bad("a header without a colon")
@@ -104,112 +109,125 @@ def parse(data: bytes) -> tuple[Found, int]:
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise Bad("no Content-Length")
-    stop = end + 4 + int(size)
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        raise Bad("the block does not end where Content-Length says")
-    found = Found(0, stop + 4, headers, data[end + 4 : stop])
+    return headers, int(size)
+
+
+def checked(headers: dict[str, str], block: bytes) -> Found:
+    found = Found(0, 0, headers, block)
     digest = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and digest.startswith("sha1:") and digest[5:] != sha1_base32(found.payload):
         raise Bad("the payload does not have its digest")
-    return found, stop + 4
+    return found
 
 
 # -- reader ---------------------------------------------------------------------------------------------------
 
 
-class Buffer:
-    """A window on a file: bytes from `at` on, read as they are asked for."""
+class Source:
+    """Random access to an archive through a window of it, so that looking for something keeps nothing."""
 
     def __init__(self, file):
-        self.file, self.at, self.data, self.over = file, 0, b"", False
-
-    def more(self) -> bool:
-        part = b"" if self.over else self.file.read(READ)
-        self.over = not part
-        self.data += part
-        return bool(part)
-
-    def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
-
-    def find(self, marks: tuple[bytes, ...], start: int) -> int:
-        """Where the first of the marks is from start on, or -1; reads on and forgets nothing."""
-        while True:
-            found = [k for m in marks if (k := self.data.find(m, start)) >= 0]
-            if found:
-                return min(found)
-            start = max(start, len(self.data) - max(map(len, marks)) + 1)
-            if not self.more():
-                return -1
-
-
-def _one_member(buf: Buffer, skip: int) -> tuple[Found, int]:
-    """The record in the gzip member at `skip` of the buffer, and the member's compressed length."""
-    z, out, used = zlib.decompressobj(31), [], skip
+        self.file, self.at, self.data = file, 0, b""
+        self.size = file.seek(0, 2)
+        self.seen: dict[bytes, tuple[int, int]] = {}
+
+    def window(self, start: int, n: int) -> int:
+        """Have n bytes from start on in the window, or all there are; the place of start in it."""
+        n = min(n, self.size - start)
+        if not self.at <= start or start + n > self.at + len(self.data):
+            self.file.seek(start)
+            self.at, self.data = start, self.file.read(max(n, READ))
+        return start - self.at
+
+    def read(self, start: int, n: int) -> bytes:
+        k = self.window(start, n)
+        return self.data[k : k + n]
+
+    def find(self, mark: bytes, start: int) -> int:
+        """Where mark is from start on; the archive's size if nowhere. An answer is kept for later starts before it."""
+        low, found = self.seen.get(mark, (0, -1))
+        if low <= start <= found:
+            return found
+        at = start
+        while at < self.size:
+            k = self.window(at, len(mark))
+            k = self.data.find(mark, k)
+            if k >= 0:
+                break
+            at = max(at + 1, self.at + len(self.data) - len(mark) + 1)
+        found = self.at + k if at < self.size else self.size
+        self.seen[mark] = (start, found)
+        return found
+
+
+def _one_member(src: Source, start: int) -> tuple[Found, int]:
+    """The record in the gzip member at start, and where the member ends.
+
+    It is inflated in pieces: what cannot be a record, or holds more than its own length says, is given up at once.
+    """
+    z, out, used, step, most, checked_to = zlib.decompressobj(31), bytearray(), start, 4096, None, 0
     try:
         while not z.eof:
-            if used >= len(buf.data) and not buf.more():
+            part = z.unconsumed_tail or src.read(used, step)
+            if not part:
                 raise Bad("the member is cut short")
-            part = buf.data[used:]
-            out.append(z.decompress(part))
-            used += len(part) - len(z.unused_data)
+            if not z.unconsumed_tail:
+                used, step = used + len(part), min(step * 2, READ)
+            out += z.decompress(part, READ)
+            if most is None:
+                if not b"WARC/".startswith(out[:5]) and not out.startswith(b"WARC/"):
+                    raise Bad("the member holds no record")
+                end = out.find(END, max(0, checked_to - 3))
+                checked_to = len(out)
+                if end >= 0:
+                    headers, size = headers_of(bytes(out[:end]))
+                    most = end + 8 + size
+            if len(out) > (MOST_RECORD if most is None else most):
+                raise Bad("the member holds more than a record")
     except zlib.error as e:
         raise Bad(f"the member does not inflate: {e}") from None
-    data = b"".join(out)
-    found, size = parse(data)
-    if size != len(data):
-        raise Bad("the member holds more than a record")
-    return found, used - skip
+    if most is None or len(out) != most or out[-4:] != END:
+        raise Bad("the block does not end where Content-Length says")
+    return checked(headers, bytes(out[end + 4 : -4])), used - len(z.unused_data)
 
 
-def _one_plain(buf: Buffer, skip: int) -> tuple[Found, int]:
-    """The record at `skip` of a buffer that is not compressed, and its length."""
-    end = buf.find((b"\r\n\r\n",), skip)
-    if end < 0 or end - skip > MOST_HEADER:
+def _one_plain(src: Source, start: int) -> tuple[Found, int]:
+    """The record at start of an archive that is not compressed, and where it ends. A block that does not end as stated
+    is never read."""
+    if src.read(start, len(VERSION) + 2)[:-2] not in VERSIONS:
+        raise Bad("no version line")
+    end = src.find(END, start)
+    if end >= src.size or src.find(b"\r\nWARC/1.", start) < end:
         raise Bad("no end of headers")
-    size = 0
-    for line in buf.data[skip:end].lower().split(b"\r\n"):
-        if line.startswith(b"content-length:") and line[15:].strip().isdigit():
-            size = int(line[15:].strip())
-    while len(buf.data) < end + 8 + size and buf.more():
-        pass
-    return parse(buf.data[skip : end + 8 + size])
+    headers, size = headers_of(src.read(start, end - start))
+    stop = end + 4 + size
+    if stop + 4 > src.size or src.read(stop, 4) != END:
+        raise Bad("the block does not end where Content-Length says")
+    return checked(headers, src.read(end + 4, size)), stop + 4
 
 
 def salvage(file) -> Iterator[Found]:
     """All valid records of an archive, compressed by member or plain, and the gaps between them, in order."""
-    buf = Buffer(file)
-    gap, problem, skip = None, "", 0  # gap: where the bytes began that no record owns; skip: what of the buffer is read
-    while True:
-        if len(buf.data) - skip < len(VERSION) and not buf.over:
-            buf.more()
-            continue
-        if skip >= len(buf.data):
-            break
-        zipped = buf.data.startswith(GZIP, skip)
+    src = Source(file)
+    gap, problem, at = None, "", 0  # gap: where the bytes began that no record owns
+    while at < src.size:
+        mark = src.read(at, 5)
         try:
-            if not zipped and not buf.data.startswith(b"WARC/", skip):
+            if mark != b"WARC/" and not mark.startswith(GZIP):
                 raise Bad("neither a member nor a version line")
-            found, size = (_one_member if zipped else _one_plain)(buf, skip)
+            found, end = (_one_plain if mark == b"WARC/" else _one_member)(src, at)
         except Bad as e:
             if gap is None:
-                gap, problem = buf.at + skip, str(e)
-            nxt = buf.find((GZIP, b"WARC/1."), skip + 1)
-            if nxt < 0:
-                break
-            skip = nxt
+                gap, problem = at, str(e)
+            at = min(src.find(GZIP, at + 1), src.find(b"WARC/1.", at + 1))
             continue
-        start = buf.at + skip
         if gap is not None:
-            yield Found(gap, start, problem=problem)
+            yield Found(gap, at, problem=problem)
             gap = None
-        yield Found(start, start + size, found.headers, found.block)
-        buf.drop(skip + size)
-        skip = 0
+        yield Found(at, end, found.headers, found.block)
+        at = end
     if gap is not None:
-        while buf.more():
-            pass
-        yield Found(gap, buf.at + len(buf.data), problem=problem)
+        yield Found(gap, src.size, problem=problem)
 
 
 # -- Spark ----------------------------------------------------------------------------------------------------
@@ -287,7 +305,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
         for b in batches:
             for archive in b.column("archive").to_pylist():
                 store, path = _open(archive)
-                with store.open_input_stream(path, compression=None) as file:
+                with store.open_input_file(path) as file:
                     for f in salvage(file):
                         if f.problem is not None:
                             rows.append((archive, "gap", f.start, f.end, *[None] * 7, f.problem))
@@ -308,10 +326,23 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     return manifest.select("archive").mapInArrow(read, RECORDS)
 
 
+def quarantined(found: DataFrame, path: str) -> int:
+    """Log the gaps among RECORDS as a table at path (archive, start, end, problem) and return their number."""
+    gaps = found.filter("kind = 'gap'").select("archive", "start", "end", "problem")
+    n = gaps.count()
+    if n:
+        gaps.write.parquet(path)
+    return n
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     # The manifest is written, so the archives are complete before any is read; a row for each archive.
     manifest = written(write_archives(pages, shared_dir(spark, "warc")), "manifest")
     n = max(1, manifest.count())
-    found = read_archives(manifest.repartition(n, "archive")).filter("kind = 'record'")
+    found = written(read_archives(manifest.repartition(n, "archive")), "records")  # narrow rows; the gaps are kept with them
+    lost = quarantined(found, shared_dir(spark, "warc-gaps"))
+    if lost:
+        raise RuntimeError(f"{lost} byte ranges of archives that were just written cannot be read; they are listed in the folder warc-gaps")
+    found = found.filter("kind = 'record'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -69,7 +69,54 @@ def test_long_payload_and_marks_inside():
         assert [f.payload == payload for f in found] == [True, True]
 
 
-PAGES = [(1, "http://a", "same"), (2, "http://b", "same"), (3, "http://c", "other"), (4, None, None), (5, "x\r\ny", ""), (None, "http://n", "same"), (1, "http://a", "same"), (6, "http://é", "é" * 1000), (None, None, "alone"), (0, "u", "other")]
+@pytest.mark.parametrize("zipped", [True, False])
+def test_headers_of_any_length(zipped):
+    url = "http://x/" + "u" * (1 << 20)
+    parts = [warc.record(k, url if k == 1 else "http://y", b"p", None, False) for k in range(3)]
+    found = read(b"".join(warc.member(p) if zipped else p for p in parts))
+    assert [f.problem for f in found] == [None] * 3 and found[1].headers["warc-target-uri"] == url
+
+
+class Counted(io.BytesIO):
+    read_bytes = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.read_bytes += len(data)
+        return data
+
+
+def test_damage_costs_no_more_than_the_archive():
+    """A wrong length is not believed, a bomb is not inflated, and marks without records are passed in one go."""
+    good = warc.record(1, "u", b"p" * 5000, None, False)
+    lie = good.replace(b"Content-Length: 5", b"Content-Length: 995", 1)
+    file = Counted(lie + good * 3)
+    found = list(warc.salvage(file))
+    assert [f.problem is None for f in found] == [False, True, True, True]
+    assert file.read_bytes < 10 * warc.READ
+    bomb = warc.member(b"\0" * (200 << 20))
+    found = read(bomb + warc.member(good))
+    assert [f.problem is None for f in found] == [False, True]
+    marks = Counted(b"WARC/1.1\r\nx: y\r\n" * 100_000 + good)
+    found = list(warc.salvage(marks))
+    assert found[-1].problem is None and found[-1].payload == b"p" * 5000
+    assert marks.read_bytes < 100 << 20
+
+
+def test_gaps_are_logged(spark, tmp_path):
+    rows, parts = archive(10, True)
+    parts[4] = parts[4][:-9]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    m = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", 10, 1)], warc.MANIFEST)
+    found = warc.read_archives(m)
+    assert sorted(r.page_id for r in found.filter("kind = 'record'").collect()) == [k for k in range(10) if k != 4]
+    assert warc.quarantined(found, f"{tmp_path}/gaps") == 1
+    gap = spark.read.parquet(f"{tmp_path}/gaps").first()
+    assert (gap.start, gap.end) == (sum(map(len, parts[:4])), sum(map(len, parts[:5]))) and gap.problem
+    assert warc.quarantined(found.filter("kind = 'record'"), f"{tmp_path}/none") == 0
+
+
+PAGES = [(7, "http://long/" + "u" * (1 << 20), "long"), (1, "http://a", "same"), (2, "http://b", "same"), (3, "http://c", "other"), (4, None, None), (5, "x\r\ny", ""), (None, "http://n", "same"), (1, "http://a", "same"), (6, "http://é", "é" * 1000), (None, None, "alone"), (0, "u", "other")]
 
 
 def test_pages(spark, folder):
@@ -91,5 +138,5 @@ def test_small_archives_and_payloads(spark):
     assert m.agg(F.sum("records")).first()[0] == len(PAGES) and m.count() > 1
     found = warc.read_archives(m, payloads=True).collect()
     assert {r.kind for r in found} == {"record"}
-    assert sorted(bytes(r.payload).decode() for r in found if r.record_type == "response") == sorted(["same", "same", "other", "", "é" * 1000, "alone"])
+    assert sorted(bytes(r.payload).decode() for r in found if r.record_type == "response") == sorted(["long", "same", "same", "other", "", "é" * 1000, "alone"])
     assert warc.write_archives(pages.limit(0), shared_dir(spark, "w")).count() == 0

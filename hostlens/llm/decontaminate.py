@@ -8,7 +8,8 @@ Where a shingle meets, bounds on position and length leave only places where the
 themselves are compared: results are exact.
 
 The benchmark side of both joins is broadcast in blocks of at most `BLOCK_WORDS` item words; a benchmark that is larger
-takes several blocks, each against all documents. Documents are never shuffled with their texts: what leaves a task is
+takes several blocks, each against all documents. Which items hold a window is no part of a block: that is joined to
+the places found, however many items share it. Documents are never shuffled with their texts: what leaves a task is
 a narrow row for each document and each verified place.
 
 Defined results: null and blank texts have no words and no hits; items without words match nothing; an item with a null
@@ -36,19 +37,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP, -1), lambda w: w != "")
 
 
-def fast_words(text: Column) -> Column:
-    """words(), with the gaps at the ends cut off first so that no element has to be looked at."""
-    t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), rf"^{GAP}|{GAP}$", "")
-    return F.when(t == "", F.expr("array()").cast("array<string>")).otherwise(F.split(t, GAP, -1))
+def with_words(docs: DataFrame, name: str) -> DataFrame:
+    """docs with words() of their text in place of it: only the first and last part of a split can be empty."""
+    out = docs.withColumn(name, F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), GAP, -1)).drop("text")
+    w = F.col(name)
+    first, last = (w[0] == "").cast("int"), (F.element_at(w, -1) == "").cast("int")
+    return out.withColumn(name, F.slice(w, 1 + first, F.greatest(F.size(w) - first - last, F.lit(0))))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows: w (words), n (their number), items (distinct non-null ids, as strings)."""
+    """Distinct windows: w (words), n (their number), items (distinct non-null ids, as strings), wid (once written)."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("all")).filter(F.size("all") > 0)
     w = w.withColumn("n", F.least(F.lit(size), F.size("all")))
     w = w.select("item", "n", "all", F.explode(F.sequence(F.lit(1), F.size("all") - F.col("n") + 1)).alias("at"))
     w = w.select("item", "n", F.slice("all", F.col("at"), F.col("n")).alias("w"))
-    return w.groupBy("w", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return w.groupBy("w", "n").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("wid", F.monotonically_increasing_id())
 
 
 def shingle_hash(w: Column, at: Column, n: int) -> Column:
@@ -70,7 +73,7 @@ def _positions(docs: DataFrame, lengths: list[int], with_row: bool) -> DataFrame
 def anchored(docs: DataFrame, wins: DataFrame, blocks: int, lengths: list[int]) -> DataFrame:
     """wins with off (zero-based) and hash of its rarest shingle among docs, which have dw, and len, its length."""
     len_ = F.least(F.lit(SHINGLE), F.col("n"))
-    offs = wins.select("w", "n", "items", F.explode(F.sequence(F.lit(0), F.col("n") - len_)).alias("off"), len_.alias("len"))
+    offs = wins.select("w", "n", "wid", F.explode(F.sequence(F.lit(0), F.col("n") - len_)).alias("off"), len_.alias("len"))
     hash_ = F.lit(None).cast("long")
     for n in lengths:
         hash_ = F.when(F.col("len") == n, shingle_hash(F.col("w"), F.col("off"), n)).otherwise(hash_)
@@ -84,22 +87,23 @@ def anchored(docs: DataFrame, wins: DataFrame, blocks: int, lengths: list[int])
         seen = met if seen is None else seen.unionByName(met)
     offs = offs.join(seen, ["hash", "len"])  # a window with a shingle that no document has occurs nowhere
     best = F.min(F.struct("df", "off", "hash")).alias("best")
-    full = offs.groupBy("w", "n").agg(best, F.count("*").alias("there"), F.first("items").alias("items"), F.first("len").alias("len"))
+    full = offs.groupBy("w", "n").agg(best, F.count("*").alias("there"), F.first("wid").alias("wid"), F.first("len").alias("len"))
     full = full.filter(F.col("there") == F.col("n") - F.col("len") + 1)
-    return full.select("w", "n", "items", "len", "best.off", "best.hash")
+    return full.select("w", "n", "wid", "len", "best.off", "best.hash")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """docs (key columns and text) -> a row for each document (pos null) and for each place of a window.
 
-    Columns: the keys, n_words, pos (zero-based first word), n (words of the window), items.
+    Columns: the keys, n_words, pos (zero-based first word), n (words of the window), wid (the window's id). And the
+    windows, with their wid and items.
     """
     wins = written(windows(items, size), "windows")
     stats = wins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.collect_set(F.least(F.lit(SHINGLE), F.col("n"))).alias("lengths")).first()
     keys = [c for c in docs.columns if c != "text"]
-    toks = docs.select(*keys, fast_words(F.col("text")).alias("dw"))
+    toks = with_words(docs.select(*keys, "text"), "dw")
     if not stats["lengths"]:
-        return toks.select(*keys, F.size("dw").cast("long").alias("n_words"), *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("n", "int"), ("items", "array<string>"))])
+        return toks.select(*keys, F.size("dw").cast("long").alias("n_words"), *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("n", "int"), ("wid", "long"))]), wins
     lengths = sorted(stats["lengths"])
     blocks = max(1, math.ceil(stats["words"] / block_words))
     anchors = written(anchored(toks, wins, blocks, lengths), "anchors")
@@ -114,9 +118,9 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_wor
         met = at.join(a, (F.col("hash") == F.col("a_hash")) & (F.col("len") == F.col("a_len")) & fits & same, "left")
         row = (F.col("pos") == -1) & (F.col("len") == lengths[0]) & F.lit(b == 0)
         met = met.filter(F.col("w").isNotNull() | row)
-        met = met.select(*keys, F.size("dw").cast("long").alias("n_words"), F.when(F.col("w").isNotNull(), start).alias("pos"), "n", "items")
+        met = met.select(*keys, F.size("dw").cast("long").alias("n_words"), F.when(F.col("w").isNotNull(), start).alias("pos"), "n", "wid")
         out = met if out is None else out.unionByName(met)
-    return out
+    return out, wins
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -125,14 +129,20 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_w
     Rows with the same doc_id and text are one document; copies is their number.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = occurrences(keyed, items, size, block_words)
+    found, wins = occurrences(keyed, items, size, block_words)
     spans = F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "n"))))
     one = found.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("pos").isNull(), 1)).alias("copies"),
         spans.alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
+        F.collect_set("wid").alias("wids"),
     )
+    one = written(one, "contamination")  # a narrow row for each document; read twice
+    held = one.select("doc_id", "text_hash", F.explode("wids").alias("wid")).join(wins.select("wid", "items"), "wid")
+    held = held.select("doc_id", "text_hash", F.explode("items").alias("item")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    held = held.withColumnsRenamed({"doc_id": "held_id", "text_hash": "held_hash"})
+    one = one.join(held, one["doc_id"].eqNullSafe(held["held_id"]) & (one["text_hash"] == held["held_hash"]), "left").drop("held_id", "held_hash")
+    one = one.withColumn("item_ids", F.coalesce("item_ids", F.expr("array()").cast("array<string>")))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
 
     def step(a: Column, s: Column) -> Column:

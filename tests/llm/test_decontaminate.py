@@ -59,3 +59,24 @@ def test_clean_keeps_columns_and_clean_rows(spark, edge, nothing, edge_rows):
     assert out.count() == len(edge_rows) - 4
     assert dc.clean(nothing, items).count() == 0
     assert dc.clean(edge, items.limit(0)).count() == len(edge_rows)
+
+
+def test_a_long_run_between_words_costs_little(spark):
+    import time
+
+    run = " -" * (1 << 19)
+    rows = [(1, f"{run}a b c d e f g h i j{run}"), (2, run), (3, f"x{run}y"), (4, "é" + "=" * (1 << 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    dc.contamination(docs.limit(1), items).collect()  # plans and code
+    start = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in dc.contamination(docs, items).collect()}
+    assert got == {1: (10, 10), 2: (0, 0), 3: (2, 0), 4: (1, 0)}
+    assert time.perf_counter() - start < 20
+
+
+def test_a_window_that_many_items_share(spark):
+    items = spark.createDataFrame([(k, "one two three") for k in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three"), (2, "one two")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in dc.contamination(docs, items).collect()}
+    assert got == {1: (3, 3000), 2: (0, 0)}

@@ -12,6 +12,11 @@ Only file names and sizes pass through the driver, never rows. A shard is never
 stays as it is. Defined results: nulls, empty and long texts, repeated rows and any further columns are kept as they
 are; an empty table gives an empty store. A store's columns are those of the first append; a column named like one
 that `read` adds is kept and the added one gets an underscore.
+
+Arrivals are small: a file of an append that is larger than `MOST_APPEND` is written again in pieces of about
+`SMALL_BYTES` before the append is committed, so that compaction makes the target-sized files at every size of input.
+Renaming must fail where the target exists, as it does on HDFS and local disks; object stores without that promise need
+a committer that has it. With `order`, rows are sorted by that column inside each file, and runs are merged in its order.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from .common import free_name, shared_dir, table
 TARGET_BYTES = 64 << 20
 FANOUT = 4
 MIN_BYTES = 1 << 20
+SMALL_BYTES = TARGET_BYTES // 8
+MOST_APPEND = TARGET_BYTES // 2
 
 
 class Conflict(RuntimeError):
@@ -49,8 +56,9 @@ def tier_of(size: int, fanout: int = FANOUT, least: int = MIN_BYTES) -> int:
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
-        self.spark, self.path, self.target_bytes, self.fanout = spark, path.rstrip("/"), target_bytes, fanout
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, order: str | None = None):
+        self.spark, self.path, self.target_bytes, self.fanout, self.order = spark, path.rstrip("/"), target_bytes, fanout, order
+        self.small, self.most = max(1, target_bytes * SMALL_BYTES // TARGET_BYTES), max(1, target_bytes * MOST_APPEND // TARGET_BYTES)
         self._jvm = spark.sparkContext._jvm
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -94,10 +102,28 @@ class ShardStore:
 
     # -- writing ----------------------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame) -> list[Shard]:
-        """Each partition of df as one file, moved from a private folder into data/ once all are written."""
+    def _pieces(self, draft: str, schema: T.StructType) -> None:
+        """Write the draft's files of more than the largest arrival again, by as many rows as make a small one."""
+        large = [(n, size) for n, size in self._list(draft) if n.startswith("part-") and size > self.most]
+        if not large:
+            return
+        df = self.spark.read.schema(schema).parquet(*[f"{draft}/{n}" for n, _ in large])
+        rows = max(1, df.count() * self.small // sum(size for _, size in large))
+        part = f"{draft}/.pieces"
+        df.write.option("maxRecordsPerFile", rows).parquet(part)
+        for n, _ in large:
+            self._fs.delete(self._at(f"{draft}/{n}"), False)
+        for n, _ in self._list(part):
+            if n.startswith("part-"):
+                self._fs.rename(self._at(f"{part}/{n}"), self._at(f"{draft}/{n}"))
+
+    def _write(self, df: DataFrame, arrival: bool) -> list[Shard]:
+        """The partitions of df as files, moved from a private folder into data/ once all are written."""
         draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
+        df = df.sortWithinPartitions(f"`{self.order}`") if self.order else df
         df.write.option("maxRecordsPerFile", 0).parquet(draft)
+        if arrival:
+            self._pieces(draft, df.schema)
         self._fs.mkdirs(self._at(f"{self.path}/data"))
         out = []
         for name, size in self._list(draft):
@@ -111,7 +137,7 @@ class ShardStore:
         base = self.version()
         now = self._load(base)
         schema = T.StructType.fromJson(json.loads(now["schema"])) if now["schema"] else df.schema
-        fresh = self._write(df.select([F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields]))
+        fresh = self._write(df.select([F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields]), True)
         return self._commit(base, now["schema"] or df.schema.json(), [Shard(**s) for s in now["shards"]] + fresh)
 
     def compact(self) -> int:
@@ -130,7 +156,7 @@ class ShardStore:
                 return base
             runs = due[0][1]
             df = self._rows(now["schema"], [s.file for s in runs])
-            merged = self._write(df.coalesce(self._files(runs)))
+            merged = self._write(df.coalesce(self._files(runs)), False)
             gone = {s.file for s in runs}
             self._commit(base, now["schema"], [s for s in live if s.file not in gone] + merged)
 
@@ -166,19 +192,24 @@ class ShardStore:
         df = self._rows(now["schema"], [s.file for s in shards])
         name = {c: free_name(df, c) for c in ("shard", "shard_tier", "shard_bytes", "version")}
         # The scan itself knows each row's file and its size, so nothing has to be joined.
-        file, size = (F.col("_metadata.file_name"), F.col("_metadata.file_size")) if shards else (F.lit(None).cast("string"), F.lit(None).cast("long"))
+        meta = df.metadataColumn("_metadata") if shards else None  # also where a column of the data has that name
+        file, size = (meta["file_name"], meta["file_size"]) if shards else (F.lit(None).cast("string"), F.lit(None).cast("long"))
         tier = F.when(size < MIN_BYTES, 0).otherwise(F.lit(1) + F.floor(F.log(size / MIN_BYTES) / math.log(self.fanout) + 1e-9)).cast("int")
         added = [file.alias(name["shard"]), tier.alias(name["shard_tier"]), size.alias(name["shard_bytes"]), F.lit(version).cast("long").alias(name["version"])]
         return df.select(*[f"`{c}`" for c in df.columns], *added)
 
 
-def sharded(docs: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> ShardStore:
-    """Append docs to a store (a new one by default), compact it and drop what compaction replaced."""
+def sharded(docs: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, order: str | None = None) -> ShardStore:
+    """Append docs to a store (a new one by default) and compact it; of a new one, drop what compaction replaced.
+
+    A store at a given path may have other writers and readers: call vacuum() there when none is at work.
+    """
     spark = docs.sparkSession
-    store = ShardStore(spark, path or shared_dir(spark, "shards"), target_bytes, fanout)
+    store = ShardStore(spark, path or shared_dir(spark, "shards"), target_bytes, fanout, order)
     store.append(docs)
     store.compact()
-    store.vacuum()
+    if path is None:
+        store.vacuum()
     return store
 
 

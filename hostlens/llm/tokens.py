@@ -5,8 +5,9 @@ is the digest of the tokenizer's file. Counting joins the documents' digests to
 distinct text that has none once, appends those rows to the cache, and joins them back. Normalising replaces runs of
 white space by one space, as the tokenizer's own normaliser does first, so that it never changes a count.
 
-Texts that have to be encoded are reduced to distinct digests within each input partition before they are dealt out by
-digest, so a text that a third of all rows repeat reaches its task once per input partition. Only (doc_id, digest,
+Texts that have to be encoded lose most repeats within each input partition before they are dealt out by digest, so a
+text that a third of all rows repeat reaches its task a few times per input partition; there they are sorted by digest
+and the first of each is encoded. Only (doc_id, digest,
 bytes) is joined to the counts.
 
 The tokenizer splits at white space and never merges across it, so a task counts a text word by word and keeps the
@@ -30,10 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import free_name, shared_dir, table
+from .common import free_name, shared_base, table, written
 
 LIMIT = 2048
 MEMO = 400_000
+SEEN = 200_000
 TOKENIZER = "word_bpe_49k.json"
 CACHE = "digest binary, n_tokens long"
 
@@ -103,10 +105,12 @@ def _batches(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
         yield part
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose digest the partition has not had."""
+def _fewer(batches: Iterator[pa.RecordBatch], most: int = SEEN) -> Iterator[pa.RecordBatch]:
+    """The rows without most of the partition's repeats: those among the last `most` digests and more."""
     seen: set[bytes] = set()
     for b in batches:
+        if len(seen) > most:
+            seen.clear()
         fresh = []
         for d in b.column("digest").to_pylist():
             fresh.append(d not in seen)
@@ -114,18 +118,27 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(fresh, pa.bool_()))
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by digest -> the first of each digest."""
+    last = None
+    for b in batches:
+        digests = b.column("digest").to_pylist()
+        yield b.filter(pa.array([d != before for before, d in zip([last, *digests], digests)], pa.bool_()))
+        last = digests[-1] if digests else last
+
+
 def encoded(texts: DataFrame, path: str) -> DataFrame:
     """digest, text (repeats allowed) -> digest and n_tokens, a row for each distinct digest."""
     ship(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for b in _distinct(batches):
+        for b in _first_of_each(batches):
             n = [k for part in _batches(b.column("text").to_pylist()) for k in counter(part)]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    once = texts.select("digest", "text").mapInArrow(_distinct, "digest binary, text string")
-    return once.repartition("digest").mapInArrow(count, "digest binary, n_tokens long")
+    once = texts.select("digest", "text").mapInArrow(_fewer, "digest binary, text string")
+    return once.repartition("digest").sortWithinPartitions("digest").mapInArrow(count, "digest binary, n_tokens long")
 
 
 class TokenCache:
@@ -178,11 +191,14 @@ class TokenCache:
         if known is not None:
             misses = misses.join(known, "digest", "left_anti")
         self.add(encoded(misses, self.path))
-        found = self.known().select(F.col("digest").alias("_digest"), F.col("n_tokens").alias("_n"))
-        return keyed.join(found, keyed[names["digest"]] == found["_digest"]).withColumn(names["n_tokens"], F.col("_n")).drop("_digest", "_n")
+        known = self.known()
+        if len(self._batches()) > 1:  # written, so that Spark can split the rows of a frequent text in the join
+            known = written(known, "token-counts")
+        key = free_name(keyed, "known_digest")
+        return keyed.join(known.select(F.col("digest").alias(key), F.col("n_tokens").alias(names["n_tokens"])), F.col(names["digest"]) == F.col(key)).drop(key)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = TokenCache(spark, shared_dir(spark, "tokens"), tokenizer_path())
+    cache = TokenCache(spark, f"{shared_base(spark)}/hostlens/token-cache", tokenizer_path())
     out = cache.counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

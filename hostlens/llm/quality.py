@@ -5,9 +5,9 @@ classes, lengths, repeats), standardised and embedded. Gated attention, softmax
 w . (tanh(V h) * sigmoid(U h)), is learned from document labels only; the weighted sum of the embeddings is what the
 document's score, a probability, is computed from. A few bad passages can so decide on a long document.
 
-Training: at most `SAMPLE` labelled documents, those with the smallest digests of their ids, with at most
-`TRAIN_PASSAGES` passages each (evenly spread over the document); these two parameters bound what reaches the driver,
-where a network of a few thousand weights is fitted in numpy. Scoring encodes every passage of every text in one pass,
+Training: labelled documents in the order of their ids' digests, at most `SAMPLE` of them and as many as have
+`SAMPLE_PASSAGES` passages together, each with all its passages (one that has more alone is no part of the sample);
+these two parameters bound what reaches the driver, where a network of a few thousand weights is fitted in numpy. Scoring encodes every passage of every text in one pass,
 without a shuffle. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null, empty or blank text is a bag of one passage without words; a doc_id with several labels
@@ -22,17 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import free_name, table
+from .common import free_name, table, word_count
 from .textbytes import CLASS_OF, CLASSES, DIGIT, LINE, MARK, SKIP, SPACE, UPPER, WIDE, utf8
 
 PASSAGE = 128
 SAMPLE = 6000
-TRAIN_PASSAGES = 24
+SAMPLE_PASSAGES = 40_000
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 60, 128, 0.01, 1e-4, 7
@@ -165,8 +165,30 @@ def weights(features: int) -> dict[str, np.ndarray]:
     return {"E": of(features, HIDDEN), "e": np.zeros(HIDDEN), "V": of(HIDDEN, ATTENTION), "U": of(HIDDEN, ATTENTION), "a": of(ATTENTION), "c": of(HIDDEN), "b": np.zeros(1)}
 
 
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean cross entropy of bags and its gradient; x holds the bags' standardised passages one after the other,
+    first where each bag begins."""
+    size = np.diff(np.append(first, len(x)))
+    h = np.tanh(x @ w["E"] + w["e"])
+    t, u = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
+    a = (t * u) @ w["a"]
+    a = np.exp(a - np.repeat(np.maximum.reduceat(a, first), size))
+    a /= np.repeat(np.add.reduceat(a, first), size)
+    z = np.add.reduceat(a[:, None] * h, first)
+    p = _sigmoid(z @ w["c"] + w["b"])
+    loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    d = (p - y) / len(y)
+    dz = np.repeat(d, size)[:, None] * w["c"]
+    da = (dz * h).sum(1)
+    dl = a * (da - np.repeat(np.add.reduceat(a * da, first), size))
+    dt, du = dl[:, None] * w["a"] * u * (1 - t**2), dl[:, None] * w["a"] * t * u * (1 - u)
+    dh = (a[:, None] * dz + dt @ w["V"].T + du @ w["U"].T) * (1 - h**2)
+    grad = {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ du, "a": (dl[:, None] * t * u).sum(0), "c": z.T @ d, "b": d.sum(keepdims=True)}
+    return loss, grad
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray) -> Attention:
-    """Adam on the cross entropy of the documents' scores, over bags padded to the longest of their batch."""
+    """Adam on the cross entropy of the documents' scores."""
     features = bags[0].shape[1] if bags else FEATURES
     if not len(labels) or labels.min() == labels.max():
         return Attention(np.zeros(features), np.ones(features), weights(features), float(labels.mean()) if len(labels) else 0.5)
@@ -180,28 +202,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Attention:
         order = g.permutation(len(bags))
         for s in range(0, len(order), BATCH):
             pick = order[s : s + BATCH]
-            most = max(len(bags[k]) for k in pick)
-            x, there = np.zeros((len(pick), most, features)), np.zeros((len(pick), most), bool)
-            for r, k in enumerate(pick):
-                x[r, : len(bags[k])] = np.clip((bags[k] - mean) / scale, -8, 8)
-                there[r, : len(bags[k])] = True
-            y = labels[pick].astype(np.float64)
-            h = np.tanh(x @ w["E"] + w["e"])
-            t, u = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-            logit = np.where(there, (t * u) @ w["a"], -1e9)
-            a = np.exp(logit - logit.max(1, keepdims=True))
-            a /= a.sum(1, keepdims=True)
-            z = (a[:, :, None] * h).sum(1)
-            d = (_sigmoid(z @ w["c"] + w["b"]) - y) / len(pick)
-            dz = d[:, None] * w["c"]
-            da = (dz[:, None, :] * h).sum(2)
-            dl = a * (da - (a * da).sum(1, keepdims=True))
-            dt, du = dl[:, :, None] * w["a"] * u * (1 - t**2), dl[:, :, None] * w["a"] * t * u * (1 - u)
-            dh = (a[:, :, None] * dz[:, None, :] + dt @ w["V"].T + du @ w["U"].T) * (1 - h**2)
-            grad = {
-                "E": np.tensordot(x, dh, ((0, 1), (0, 1))), "e": dh.sum((0, 1)), "V": np.tensordot(h, dt, ((0, 1), (0, 1))), "U": np.tensordot(h, du, ((0, 1), (0, 1))),
-                "a": (dl[:, :, None] * t * u).sum((0, 1)), "c": z.T @ d, "b": d.sum(keepdims=True),
-            }
+            own = [bags[k] for k in pick]
+            x = np.clip((np.concatenate(own) - mean) / scale, -8, 8)
+            _, grad = gradient(w, x, np.cumsum([0, *map(len, own)])[:-1], labels[pick].astype(np.float64))
             step += 1
             for k, dk in grad.items():
                 dk = dk + DECAY * w[k]
@@ -225,8 +228,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention:
-    """Fit on labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> Attention:
+    """Fit on labelled rows that are not held out: see the module for the bounds `sample` and `most`."""
     ship(docs.sparkSession)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.avg("quality").alias("label"))
@@ -240,14 +243,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
                 x, doc = encoded(data, at)
                 for k in range(len(at) - 1):
                     own_rows = x[np.searchsorted(doc, k) : np.searchsorted(doc, k + 1)]
-                    if len(own_rows) > TRAIN_PASSAGES:
-                        own_rows = own_rows[np.linspace(0, len(own_rows) - 1, TRAIN_PASSAGES).astype(int)]
                     rows[0].append(ids[start + k])
                     rows[1].append(label[start + k])
                     rows[2].append(own_rows.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.binary())], ["doc_id", "label", "bag"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")  # at most `sample` narrow rows
+    sizes = picked.groupBy("doc_id", "label").agg(F.max(F.greatest(F.ceil(word_count(F.col("text")) / PASSAGE), F.lit(1))).alias("n")).filter(F.col("n") <= most)
+    sizes = sizes.withColumn("sum", F.sum("n").over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")))  # `sample` rows
+    picked = picked.join(F.broadcast(sizes.filter(F.col("sum") <= most).select("doc_id")), "doc_id")
     got = picked.select("doc_id", "label", "text").mapInArrow(encode, "doc_id long, label double, bag binary")
     # Several rows of one doc_id count once, so the bound holds for what is collected as well.
     got = got.groupBy("doc_id", "label").agg(F.min("bag").alias("bag")).orderBy("doc_id").toArrow()

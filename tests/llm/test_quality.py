@@ -82,3 +82,41 @@ def test_edges(spark, edge, nothing, edge_rows):
     assert Q.scored(nothing, net).count() == 0
     alone = Q.train(edge, labels.filter("quality = 1"))
     assert alone.constant == 1.0 and Q.train(edge, labels.limit(0)).constant == 0.5
+
+
+def test_gradient_against_differences():
+    g = np.random.default_rng(3)
+    w = Q.weights(5)
+    w = {k: v + g.normal(0, 0.1, v.shape) for k, v in w.items()}
+    sizes = [1, 4, 2, 7]
+    x, first, y = g.normal(0, 1, (sum(sizes), 5)), np.cumsum([0, *sizes])[:-1], np.array([1.0, 0.0, 1.0, 0.0])
+    _, grad = Q.gradient(w, x, first, y)
+    for k in w:
+        for at in list(np.ndindex(w[k].shape))[:40]:
+            both = []
+            for e in (1e-5, -1e-5):
+                moved = {n: v.copy() for n, v in w.items()}
+                moved[k][at] += e
+                both.append(Q.gradient(moved, x, first, y)[0])
+            assert grad[k][at] == pytest.approx((both[0] - both[1]) / 2e-5, abs=1e-6)
+
+
+def test_score_against_a_plain_form():
+    g = np.random.default_rng(4)
+    net = Q.Attention(g.normal(0, 1, 5), g.uniform(0.5, 2, 5), Q.weights(5))
+    bags = [g.normal(0, 1, (n, 5)) for n in (1, 3, 6)]
+    want = []
+    for b in bags:
+        h = [np.tanh(np.clip((r - net.mean) / net.scale, -8, 8) @ net.w["E"] + net.w["e"]) for r in b]
+        e = [np.exp((np.tanh(v @ net.w["V"]) / (1 + np.exp(-(v @ net.w["U"])))) @ net.w["a"]) for v in h]
+        z = sum(k * v for k, v in zip(e, h)) / sum(e)
+        want.append(1 / (1 + np.exp(-(z @ net.w["c"] + net.w["b"][0]))))
+    assert net.score(np.concatenate(bags), np.repeat([0, 1, 2], [1, 3, 6]), 3) == pytest.approx(np.array(want))
+
+
+def test_sample_is_bounded_in_passages(spark):
+    docs = spark.createDataFrame([(k, "good text here " * (43 * (1 + k % 5)) if k % 2 else "### bad %% " * 60) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    net = Q.train(docs, labels, most=40)
+    assert net.constant is None
+    assert Q.train(docs, labels, most=0).constant == 0.5

@@ -10,7 +10,7 @@ where the lengths so far add up to. Patterns start only where the run they look
 once. All of it is DataFrame functions; documents are never shuffled.
 
 Defined results: a null text counts as empty, with no spans; a document of any length is one row; repeated rows are
-judged alike; an empty table gives an empty result; a column of the input named pii is replaced.
+judged alike; an empty table gives an empty result.
 Offsets are code points, the end exclusive.
 """
 
@@ -54,6 +54,9 @@ def _iban() -> str:
 IBAN = _iban()
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![0-9])[0-9]{8,11}(?![0-9])"
+#: Key ids of a fixed form, and values of ten or more characters with a digit that are assigned to a word for a secret.
+ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+CREDENTIAL = r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?["']?(?=[a-z_+/-]*[0-9])[a-z0-9_+/-]{10,256}={0,2}"""
 
 
 def digits(m: Column) -> Column:
@@ -116,6 +119,8 @@ KINDS = (
     Kind("iban", IBAN, 0.7, r"iban|bank|account"),
     Kind("national_id", NATIONAL, 0.2, r"ssn|social security|national id", needs="-"),
     Kind("account", ACCOUNT, 0.1, r"account (?:no|number)|konto|cuenta|compte"),
+    Kind("access_key", ACCESS_KEY, 0.7, r"key|access|aws", needs="AKIA"),
+    Kind("credential", CREDENTIAL, 0.6, r"login|user|config|env", r"example|dummy|placeholder"),
 )
 RAISE, LOWER = 0.4, 0.15
 
@@ -206,11 +211,13 @@ QUICK = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11}",
     "iban": r"[A-Z]{2}[0-9]{2}[\x20]?[A-Z0-9]{4}",
     "account": r"[0-9]{8}",
+    "credential": r"(?i)(?:pass|pwd|secret|token|key)[a-z]*[\x20]?[=:]",
 }
 
 
 def personal_data(docs: DataFrame, column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with pii, the spans that reach the threshold, by start and then kind as listed."""
+    """docs with pii, the spans that reach the threshold, by start and then kind as listed; pii_ if docs have a pii."""
+    pii_name = free_name(docs, "pii")
     names = docs.columns
     text, hits, gaps, spans, every = (free_name(docs, f"pii_{x}") for x in ("text", "hits", "gaps", "spans", "every"))
     # Each step is a projection of its own, as its columns are used more than once by the next.
@@ -228,12 +235,12 @@ def personal_data(docs: DataFrame, column: str = "text", threshold: float = THRE
 
     # A base span stays; another kind's span that lies inside one says nothing new, one that reaches outside does.
     pii = F.when(F.size(every) > 1, F.filter(order, lambda s: s["base"] | ~on_base(s))).otherwise(F.col(every))
-    return out.select(*[f"`{c}`" for c in names if c.lower() != "pii"], pii.alias("pii"))
+    return out.select(*[f"`{c}`" for c in names], pii.alias(pii_name))
 
 
 def redacted(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with pii and the text with each span replaced by its kind in angle brackets."""
-    out = personal_data(docs, column)
+    """docs with pii and redacted, the text with each span replaced by its kind in angle brackets."""
+    out, pii = personal_data(docs, column), free_name(docs, "pii")
     text = F.coalesce(F.col(column), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
@@ -243,8 +250,12 @@ def redacted(docs: DataFrame, column: str = "text") -> DataFrame:
         inside = s["start"] < a["at"]  # overlaps the span before it
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["text"]).otherwise(F.concat(a["text"], between, mark)).alias("text"))
 
-    end = F.aggregate("pii", start, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
-    return out.withColumn("redacted", end)
+    end = F.aggregate(pii, start, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
+    return out.withColumn(free_name(docs, "redacted"), end)
+
+
+def with_scores(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["score"].cast("string"))), ",")
 
 
 def joined(spans: Column) -> Column:
@@ -258,4 +269,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
 
-    return out.select("doc_id", *[count(k.name).alias(f"n_{k.name}") for k in BASE], F.sha2(joined(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return out.select("doc_id", *[count(k.name).alias(f"n_{k.name}") for k in BASE], F.sha2(joined(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), with_scores(F.col("pii")).alias("scores"))

@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import UPPER, table
+from .common import UPPER, free_name, table
 
 # The rules of the query, and its vocabulary.
 RULES = (
@@ -96,13 +97,26 @@ def _built(rules: tuple, strict: tuple, soft: tuple) -> tuple[Rules, Vocabulary]
     return Rules(rules), Vocabulary(strict, soft)
 
 
+def vocabulary(terms: DataFrame, most: int = 100_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table (term, weight): a weight of SOFT_HITS or more is strict. `most` bounds the table,
+    which every task holds; a larger one is refused."""
+    rows = terms.filter("term IS NOT NULL AND term <> ''").select(F.lower("term").alias("term"), "weight").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of more than {most} terms")
+    strict = {r.term for r in rows if r.weight >= SOFT_HITS}
+    return tuple(sorted(strict)), tuple(sorted({r.term for r in rows} - strict))
+
+
 def judged(pages: DataFrame, rules: tuple = RULES, strict: tuple = STRICT, soft: tuple = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
-    """pages (url and any key columns but html) with host, path, rule, strict_terms, soft_terms and verdict."""
+    """pages (url and any other columns) with host, path, rule, strict_terms, soft_terms and verdict.
+
+    An added column whose name is taken gets an underscore.
+    """
     ship(pages.sparkSession)
-    added = ["host", "path", "rule", "strict_terms", "soft_terms", "verdict"]
-    kept = [f for f in pages.schema.fields if f.name.lower() not in added]
-    text, number = T.StringType(), T.IntegerType()
-    kinds = T.StructType([*kept, *[T.StructField(n, number if n.endswith("terms") else text) for n in added]])
+    counted = ("strict_terms", "soft_terms")
+    added = {n: free_name(pages, n) for n in ("host", "path", "rule", *counted, "verdict")}
+    kept = pages.schema.fields
+    kinds = T.StructType([*kept, *[T.StructField(to, T.IntegerType() if n in counted else T.StringType()) for n, to in added.items()]])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rule, words = _built(rules, strict, soft)
@@ -115,8 +129,8 @@ def judged(pages: DataFrame, rules: tuple = RULES, strict: tuple = STRICT, soft:
                 verdict = rule[1] if rule else "block" if bad or odd >= soft_hits else "allow"
                 for column, value in zip(out, (host, path, rule[0] if rule else None, bad, odd, verdict), strict=True):
                     column.append(value)
-            arrays = [pa.array(v, pa.int32() if n.endswith("terms") else pa.string()) for n, v in zip(added, out, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *arrays], [*[f.name for f in kept], *added])
+            arrays = [pa.array(v, pa.int32() if n in counted else pa.string()) for n, v in zip(added, out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *arrays], [*[f.name for f in kept], *added.values()])
 
     return pages.mapInArrow(judge, kinds)
 

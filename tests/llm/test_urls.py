@@ -35,6 +35,13 @@ def test_vocabulary(url, hits):
 
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, "k"), (1, None, "k"), (None, "http://x.org/porn", "k"), (3, "http://a.org/" + "x" * 100_000, None)], "page_id long, url string, verdict string")
-    got = sorted((r.page_id or 0, r.verdict) for r in urls.judged(df).collect())
+    got = sorted((r.page_id or 0, r.verdict_) for r in urls.judged(df).collect())  # a column named verdict is kept
     assert got == [(0, "block"), (1, "allow"), (1, "allow"), (3, "allow")]
     assert urls.judged(df.limit(0)).count() == 0
+
+
+def test_vocabulary_from_a_table(spark):
+    df = spark.createDataFrame([("Casino", 1), ("xxx", 2), ("", 2), (None, 1), ("casino", 1), ("spam", 5)], "term string, weight int")
+    assert urls.vocabulary(df) == (("spam", "xxx"), ("casino",))
+    with pytest.raises(ValueError):
+        urls.vocabulary(df, most=2)

@@ -8,7 +8,8 @@ distance lies within the radius of its own distance from the node. One tree over
 and could not be broadcast, so the trees are built by shard: 64 bits in 4 blocks of 16, and as 2 differing bits touch
 2 blocks at most, linked fingerprints agree in 2 whole blocks. Each of the 6 pairs of blocks deals the distinct
 fingerprints to shards by the pair's 32 bits, and a shard's tree is built in the task that receives the shard, which
-takes the place of broadcasting it. Shards of more than `HOT` fingerprints are dealt again, by 6 pairs of the 4 bytes
+takes the place of broadcasting it; of a shard of two fingerprints, the root and one child, only the one distance is
+taken. Shards of more than `HOT` fingerprints are dealt again, by 6 pairs of the 4 bytes
 in the other two blocks: what is left then differs in 16 bits only, so no tree exceeds 65,536 nodes.
 
 A shard gives a link from each fingerprint to the smallest one of its tree's group, never all pairs. Groups over all
@@ -60,12 +61,12 @@ def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
     digest = xxhash.xxh64_intdigest
     if len(words) <= n:
         return digest(b" ".join(words), seed)
-    if n == 3:
-        shingles = [b"%b %b %b" % w for w in zip(words, words[1:], words[2:])]
-    else:
-        shingles = [b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)]
-    hashes = np.array([digest(s, seed) for s in shingles], np.uint64)
-    high = _bits(hashes) * 2 > len(hashes)
+    total, count = np.zeros(64, np.int64), len(words) - n + 1
+    for at in range(0, count, 1 << 16):  # so that a long text's shingles are never there all at once
+        part = words[at : at + (1 << 16) + n - 1]
+        hashes = [digest(b" ".join(w), seed) for w in zip(*[part[k:] for k in range(n)])]
+        total += _bits(np.array(hashes, np.uint64))
+    high = total * 2 > count
     return int.from_bytes(np.packbits(high, bitorder="little").tobytes(), "little")
 
 

@@ -10,7 +10,8 @@ Prefix sums of a hot source never meet in one task: documents are ordered by a d
 digits deal them to 4096 buckets, and a document's start is its bucket's start plus a running sum inside the bucket.
 
 Defined results: null or blank texts have size 0 and take nothing; a null source is a source of its own, after all
-others; an empty table gives an empty result; repeated rows are separate documents; equal digests are ordered by size.
+others; an empty table gives an empty result; repeated rows are separate documents and share a digest.
+The sources themselves, a row each, are put into one order in one task; they are to be tens of thousands at most.
 Columns of the input stay; new columns that would clash get an underscore.
 """
 
@@ -136,7 +137,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """docs with skey, size (words) and h, the digest that orders a source's documents."""
     size = word_count(F.col("text"))
     return docs.withColumns({"skey": source_key(F.col("source")), "size": size}).withColumn(
-        "h", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+        "h", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     )
 
 
@@ -189,9 +190,9 @@ def _sql() -> str:
     weights = ", ".join(str(float(s.weight)) for s in CURRICULUM)
     return f"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS t FROM documents
 ), k AS (
-  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR) AS h FROM d
+  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || t) AS h FROM d
 ), s0 AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source
 ), s1 AS (

@@ -175,6 +175,21 @@ def mixed_documents(docs: DataFrame, curriculum: tuple[Share, ...] = CURRICULUM,
     return out.orderBy("pass.positions", "doc_id").select("row.*")
 
 
+def in_order(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, as read from the files that mixed_documents was written to, with a column of their place in training, and its name.
+
+    Spark writes a sorted frame as sorted files with numbers that rise, so a row's place is its file's number, then its
+    row in the file: nothing is counted or shuffled. Other frames than those of files have null there.
+    """
+    name = free_name(docs, "training_order")
+    if not docs.inputFiles():
+        return docs.withColumn(name, F.lit(None).cast("long")), name
+    meta = docs.metadataColumn("_metadata")
+    number = lambda pattern: F.coalesce(F.regexp_extract(meta["file_name"], pattern, 1).try_cast("long"), F.lit(0))
+    place = F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)\b"), 32) + meta["row_index"]
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], place.cast("long").alias(name)), name
+
+
 def _sql() -> str:
     """The same mix in SQL, by plain running sums."""
 

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline as P
+from hostlens.llm import mixing
 from tests.llm.test_decontaminate import brute as contamination
 from tests.llm.test_shingles import brute_kept
 
@@ -9,11 +10,12 @@ def test_stages_on_their_own_input(spark, sf):
     assert [n for n, _ in P.STAGES] == ["quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
-    got = {}
+    got, decontaminated = {}, None
     for name, stage in P.STAGES:
         out = stage(spark, docs, sf)
         path = P.shared_dir(spark, name)
         out.write.parquet(path)
+        decontaminated = docs if name == "mixing" else None if name != "sharding" else decontaminated
         before, docs = docs, spark.read.parquet(path)
         got[name] = (before.collect(), docs.collect())
         assert docs.columns[: len(columns)] == columns
@@ -32,8 +34,10 @@ def test_stages_on_their_own_input(spark, sf):
     assert {r.doc_id for r in b} <= {r.doc_id for r in a} and b
     words = lambda rows: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows)
     assert abs(words(b) - words(a)) < 0.1 * words(a)
-    a, b = got["sharding"]
+    before, (a, b) = b, got["sharding"]
     assert sorted((r.doc_id, r.text) for r in a) == sorted((r.doc_id, r.text) for r in b)
+    # The order of training, as mixing has it, is that of a column of the result, and of the rows of every shard.
+    assert [r.doc_id for r in sorted(b, key=lambda r: r.training_order)] == [r.doc_id for r in mixing.mixed_documents(decontaminated).collect()]
 
 
 def test_run_and_stages_on_edges(spark, edge, nothing, folder, sf):

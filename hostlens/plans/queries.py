@@ -185,8 +185,8 @@ def content_sha256(spark, d):
 
 def _redact_sql(column: str) -> str:
     for pattern, replacement in RULES:
-        flags = "gi" if pattern.startswith(("(?i", "(?U)(?i")) else "g"
-        body = pattern.replace("(?iU)", "").replace("(?U)", "").replace("'", "''")
+        flags = "gi" if pattern.startswith("(?i)") else "g"
+        body = pattern.removeprefix("(?i)").replace("'", "''")
         back = "".join("\\" + c if p == "$" and c.isdigit() else ("" if c == "$" else c) for p, c in zip(" " + replacement, replacement))
         column = f"regexp_replace({column}, '{body}', '{back}', '{flags}')"
     return column

@@ -35,7 +35,7 @@ NUMERIC = ("pid", "id")
 SEVERITY_FIELDS = ("sev", "severity")
 FREE_TEXT = ("message", "command_line", "target")
 PROJECTION = (
-    "id", "ts", "host", "category", "action", "outcome", "severity", "user", "src_ip", "session_id", "process_name", "command_line", "target", "message",
+    "id", "ts", "host", "category", "action", "outcome", "severity", "user", "src_ip", "session_id", "process_name", "command_line", "process", "target", "message", "details", "hash",
 )
 DEFAULT_LIMIT = 200
 

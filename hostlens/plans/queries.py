@@ -109,6 +109,13 @@ def changes_command(spark, d):
     return _out(search.changes(adapted(spark, d), "ssh"))
 
 
+@query(f"SELECT {_P.replace('category', chr(39) + 'alert' + chr(39) + ' AS category')} FROM ev WHERE category = 'privilege' AND severity >= 2 AND ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY us DESC, id DESC LIMIT 150")
+def alerts_command(spark, d):
+    e = adapted(spark, d)
+    e = e.withColumn("category", F.when(F.col("category") == "privilege", "alert").otherwise(F.col("category")))
+    return _out(search.alerts(e, "medium", "2024-01-10T00:00:00Z", 150))
+
+
 @query("SELECT * EXCLUDE (ts) FROM ev WHERE id = 77")
 def get_event(spark, d):
     return search.get_event(adapted(spark, d), 77).drop("ts")

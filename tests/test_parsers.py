@@ -189,3 +189,17 @@ def test_windows_events(spark):
 def test_no_lines(spark):
     empty = lines(spark, "x").limit(0)
     assert packages.read_dpkg(empty).count() == journal.read_journal(empty).count() == 0
+
+
+def test_path_patterns(spark, tmp_path):
+    from hostlens.sources.hosts import expand_path_pattern
+
+    for name in ("a/.ssh/keys", "b/.ssh/keys", "b/.ssh2/keys", "c/other", "d[1]/x"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    find = lambda pattern: [x.removeprefix(f"{tmp_path}/") for x in expand_path_pattern(spark, f"{tmp_path}/{pattern}")]
+    assert find("*/.ssh") == ["a/.ssh", "b/.ssh"]
+    assert find("?/.ssh*/keys") == ["a/.ssh/keys", "b/.ssh/keys", "b/.ssh2/keys"]
+    assert find("c/other") == ["c/other"] and find("none") == [] and find("*/none") == []
+    assert find("d[1]/*") == ["d[1]/x"]

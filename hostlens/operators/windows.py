@@ -12,22 +12,41 @@ from ..functions.scalars import norm_user
 from ..schema import level_rank
 
 
+def _covered(events: DataFrame, key: str, until: Column, weight: Column, name: str, us: str) -> DataFrame:
+    """Events with the weight of all events of their key that cover their time; one covers its own time up to `until`.
+
+    Each event adds its weight at its time and takes it back just after `until`, and a running sum is read at each. So a
+    key with many events within a span costs in proportion to them; a frame of that span would be summed up anew for
+    each row. Rows that only take back carry no other columns.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns if c != name])
+    at = F.struct(row.alias("row"), F.col(us).alias("at"), weight.cast("long").alias("by"))
+    back = F.struct(F.when(F.lit(False), row).alias("row"), (until + 1).alias("at"), (-weight).cast("long").alias("by"))
+    turns = F.when(weight != 0, F.array(at, back)).otherwise(F.array(at))
+    out = events.select(F.col(key).alias("of"), F.explode(turns).alias("turn")).select("of", "turn.*")
+    running = Window.partitionBy("of").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return out.withColumn("total", F.sum("by").over(running)).filter("row IS NOT NULL").select("row.*", F.col("total").alias(name))
+
+
 def sliding_count(events: DataFrame, key: str, seconds: int, name: str = "recent", us: str = "us") -> DataFrame:
     """Events of the key in the `seconds` up to each, itself and both ends included."""
-    w = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn(name, F.count("*").over(w))
+    return _covered(events, key, F.col(us) + seconds * 1_000_000, F.lit(1), name, us)
 
 
 def sliding_distinct(events: DataFrame, key: str, value: str, seconds: int, name: str = "distinct_recent", us: str = "us") -> DataFrame:
-    """Distinct values of the key in the `seconds` up to each event; a null counts as the empty value."""
-    w = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn(name, F.size(F.collect_set(F.coalesce(F.col(value), F.lit(""))).over(w)).cast("long"))
+    """Distinct values of the key in the `seconds` up to each event; a null counts as the empty value.
+
+    An event covers the time until its value comes again, so that each value counts once.
+    """
+    again = F.lead(us).over(Window.partitionBy(key, F.coalesce(F.col(value), F.lit(""))).orderBy(us))
+    until = F.least(F.col(us) + seconds * 1_000_000, F.col("_again") - 1)
+    return _covered(events.withColumn("_again", again), key, until, F.lit(1), name, us).drop("_again")
 
 
 def failures_before(events: DataFrame, key: str, seconds: int, is_failure: Column, name: str = "failures", us: str = "us") -> DataFrame:
     """Failures of the key in the `seconds` up to each event."""
-    w = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn(name, F.count(F.when(is_failure, 1)).over(w))
+    weight = F.when(is_failure, 1).otherwise(0)
+    return _covered(events, key, F.col(us) + seconds * 1_000_000, weight, name, us)
 
 
 def source_history(logins: DataFrame) -> DataFrame:

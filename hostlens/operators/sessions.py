@@ -10,7 +10,7 @@ import hashlib
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_user
@@ -21,7 +21,7 @@ MERGE_SECONDS = 60
 MOST_LEARNED = 2000
 
 TRACKED = struct_of(
-    "tracked_session STRING, tracked_action STRING, tracked_user STRING, tracked_ip STRING, merged BOOLEAN, original_ip STRING, opened_us BIGINT"
+    "tracked_session STRING, tracked_action STRING, tracked_user STRING, tracked_ip STRING, merged BOOLEAN, original_ip STRING, opened_us BIGINT, linked_session STRING, severity_floor INT"
 )
 
 
@@ -103,7 +103,7 @@ class Tracker:
             if s is not None and learn is not None:
                 self.learn(s, learn)
         user, ip = (user if user is not None else s and s["user"]), (ip if ip is not None else s and s["ip"])
-        return {"tracked_session": s and s["id"], "tracked_action": action, "tracked_user": user, "tracked_ip": ip, "merged": merged, "original_ip": original, "opened_us": s and s["start"]}
+        return {"tracked_session": s and s["id"], "tracked_action": action, "tracked_user": user, "tracked_ip": ip, "merged": merged, "original_ip": original, "opened_us": s and s["start"], "linked_session": s["id"] if merged else None, "severity_floor": int(original is not None)}
 
     def feed(self, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, list]]:
         columns: dict[str, list] = {f.name: [] for f in TRACKED.fields}
@@ -120,7 +120,9 @@ class Tracker:
 def track(events: DataFrame) -> DataFrame:
     """Events (host, us, arrival_seq, action, category, user, src_ip, protocol, keys, learn) with their sessions.
 
-    Logoffs and disconnects of sessions that never were are dropped; a login that merged is an auth.success.
+    Logoffs and disconnects of sessions that never were are dropped; a login that merged is an auth.success, with the
+    session as linked_session. A reconnect from another address keeps the one before as original_ip and is of severity
+    1 (low) at least (severity_floor).
     """
     inputs = ["us", "action", "category", "user", "src_ip", "protocol", "keys", "learn"]
     return fold(events, ["host"], ["us", "arrival_seq"], partial(Tracker), TRACKED, inputs)
@@ -194,6 +196,43 @@ def absent_sessions(sessions: DataFrame, live_keys: DataFrame, kind: str) -> Dat
     return mine.join(there, "id", "left_anti")
 
 
+def ended_sessions(sessions: DataFrame, alive_pids: DataFrame) -> DataFrame:
+    """Open sessions that hang on process ids, none of which is alive (alive_pids: host, pid, of each host at a time).
+
+    Sessions (id, host, status, keys, base_keys) without a pid among the keys of their login never end this way.
+    """
+    base = F.slice("keys", F.lit(1), F.greatest(F.col("base_keys"), F.lit(1)))
+    mine = sessions.filter(F.col("status") != "ended").withColumn("_pids", F.filter(base, lambda k: F.startswith(k, F.lit("pid:"))))
+    mine = mine.filter(F.size("_pids") > 0)
+    alive = alive_pids.select("host", F.concat(F.lit("pid:"), F.col("pid").cast("string")).alias("key")).distinct()
+    there = mine.select("id", "host", F.explode("_pids").alias("key")).join(alive, ["host", "key"], "left_semi").select("id").distinct()
+    return mine.drop("_pids").join(there, "id", "left_anti")
+
+
+def unobserved_ends(gone: DataFrame, us: Column, while_off: bool) -> DataFrame:
+    """The session.ended_unobserved events of sessions (id, host, user, src_ip) found gone at `us`.
+
+    while_off tells those that a first snapshot does not hold from those whose processes have vanished since.
+    """
+    why = " ended while the agent was not running" if while_off else " ended (logoff not observed; its processes are gone)"
+    return gone.select(
+        us.cast("long").alias("us"),
+        "host",
+        F.lit("session").alias("category"),
+        F.lit("session.ended_unobserved").alias("action"),
+        "user",
+        "src_ip",
+        F.col("id").alias("session_id"),
+        F.concat(F.lit("Session of "), F.coalesce("user", F.lit("")), F.lit(why)).alias("message"),
+    )
+
+
+def changed_sessions(tracked: DataFrame, new: Column) -> DataFrame:
+    """The sessions, as they are now, that rows for which `new` holds belong to; the rest need not be stored again."""
+    some = tracked.filter(new).select(F.col("tracked_session")).filter("tracked_session IS NOT NULL").distinct()
+    return session_table(tracked.join(some, "tracked_session", "left_semi"))
+
+
 def fallback_user(events: DataFrame) -> DataFrame:
     """The account a process runs as, where no user is known."""
     return events.withColumn("user", F.coalesce("user", "run_as"))

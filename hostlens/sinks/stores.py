@@ -7,8 +7,14 @@ baselines) are written as a new version next to the old one; the newest version
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import zlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ship
 
 
 def _fs(spark: SparkSession, path: str):
@@ -43,14 +49,23 @@ class VersionedTable:
         done = self._versions()
         return self.spark.read.parquet(f"{self.path}/{done[-1]}") if done else None
 
+    def delete(self, gone: DataFrame, keep: int = 2) -> None:
+        """A version without the rows whose keys are in `gone`."""
+        old = self.read()
+        if old is not None:
+            self._store(old.join(gone.select(*self.keys).distinct(), self.keys, "left_anti").select(*old.columns), keep)
+
     def merge(self, changes: DataFrame, keep: int = 2) -> None:
         """Insert or update by key: of old and new rows the last in order counts. Old versions beyond `keep` go."""
-        done, old = self._versions(), self.read()
+        old = self.read()
         every = changes.withColumn("_new", F.lit(1))
         if old is not None:
             every = old.withColumn("_new", F.lit(0)).unionByName(every)
         last = Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc() for c in self.order], F.col("_new").desc())
-        out = every.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_new")
+        self._store(every.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_new"), keep)
+
+    def _store(self, out: DataFrame, keep: int) -> None:
+        done = self._versions()
         n = int(done[-1][1:]) + 1 if done else 1
         out.write.mode("overwrite").parquet(f"{self.path}/v{n:08d}")
         for v in done[: max(0, len(done) + 1 - keep)]:
@@ -63,12 +78,57 @@ def write_ndjson(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> No
     df.write.option("maxRecordsPerFile", rows_per_file).mode("append").json(path)
 
 
+def deflated(content: Column) -> Column:
+    """Binary content as a zlib stream; null for null. Spark has no such function, so Arrow batches go through Python."""
+    ship(SparkSession.active())
+    return _deflate(content)
+
+
+def inflated(content: Column) -> Column:
+    """What `deflated` was given; null for null and for bytes that are no whole zlib stream."""
+    ship(SparkSession.active())
+    return _inflate(content)
+
+
+@F.pandas_udf(T.BinaryType())
+def _deflate(x: pd.Series) -> pd.Series:
+    return x.map(zlib.compress, na_action="ignore")
+
+
+@F.pandas_udf(T.BinaryType())
+def _inflate(x: pd.Series) -> pd.Series:
+    def back(data: bytes) -> bytes | None:
+        try:
+            return zlib.decompress(data)
+        except zlib.error:
+            return None
+
+    return x.map(back, na_action="ignore")
+
+
+def keep_newest(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Remove the files of a folder of forwarded lines but the newest `keep`; the names of those that went."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return []
+    files = [f for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    old = sorted(files, key=lambda f: (f.getModificationTime(), f.getPath().getName()), reverse=True)[keep:]
+    for f in old:
+        fs.delete(f.getPath(), False)
+    return sorted(f.getPath().getName() for f in old)
+
+
 def next_incident(existing: DataFrame, year: int, column: str = "name") -> DataFrame:
     """The next number of a year after incident files named INC-<year>-<number>.…"""
     number = F.max(F.regexp_extract(column, rf"^INC-{year}-([0-9]{{1,9}})", 1).try_cast("long"))
     return existing.agg((F.coalesce(number, F.lit(0)) + 1).alias("next"))
 
 
+def severe(events: DataFrame, minimum: int) -> DataFrame:
+    """The events that are forwarded: those of at least this severity."""
+    return events.filter(F.col("severity") >= minimum)
+
+
 def forward(df: DataFrame, column: str, host: str, port: int, protocol: str = "tcp", limit: int = 8192) -> None:
     """Send a column's lines to a collector from the tasks that have them; UDP packets are cut at `limit` bytes, TCP
     lines carry their length in front. A failed task sends its lines again."""

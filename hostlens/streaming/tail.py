@@ -1,16 +1,32 @@
 """A streaming source that follows growing log files in a folder.
 
 A file is known by device and inode, so a rename does not start it over; a file that is shorter than what was read has
-been truncated in place and is read from its start. Only whole lines are handed on.
+been truncated in place and is read from its start. Only whole lines are handed on. Lines read after a truncation
+say so; where there are none yet, a row without a value does.
+
+Offsets hold where each file was left and how often it had been truncated, so a batch that is run again after a
+truncation reads the file from its start, too.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 MOST_BYTES, MOST_LINE = 8 << 20, 64 << 10
+CUTS = "cuts:"
+
+
+def truncations(rows: DataFrame) -> DataFrame:
+    """The log.truncated events of followed authentication logs: severity 3 (high), the file as target.
+
+    The row at the start of a truncated file stands for the truncation."""
+    cut = rows.filter("truncated AND offset = 0")
+    message = F.concat("file", F.lit(" was truncated in place (not rotated): possible log tampering"))
+    return cut.select(F.lit("agent").alias("category"), F.lit("log.truncated").alias("action"), F.lit(3).alias("severity"), F.col("file").alias("target"), message.alias("message"))
 
 
 class LogTail(DataSource):
@@ -49,6 +65,7 @@ class LogTailReader(SimpleDataSourceStreamReader):
             at, cut = start.get(key, 0), False
             if os.path.getsize(path) < at:
                 at, cut = 0, True
+                end[CUTS + key] = start.get(CUTS + key, 0) + 1
             with open(path, "rb") as f:
                 f.seek(at)
                 data = f.read(MOST_BYTES)
@@ -58,6 +75,8 @@ class LogTailReader(SimpleDataSourceStreamReader):
             for line in data[:whole].splitlines(True):
                 rows.append((line.rstrip(b"\r\n").decode("utf-8", "replace"), os.path.basename(path), at, cut))
                 at += len(line)
+            if cut and not whole:
+                rows.append((None, os.path.basename(path), 0, True))
             end[key] = at
         return iter(rows), end
 
@@ -66,11 +85,16 @@ class LogTailReader(SimpleDataSourceStreamReader):
         rows = []
         for key, path in self._files().items():
             a, b = start.get(key, 0), end.get(key, 0)
+            cut = end.get(CUTS + key, 0) != start.get(CUTS + key, 0)
+            if cut:
+                a = 0
+                if not b:
+                    rows.append((None, os.path.basename(path), 0, True))
             if b > a:
                 with open(path, "rb") as f:
                     f.seek(a)
                     for line in f.read(b - a).splitlines(True):
-                        rows.append((line.rstrip(b"\r\n").decode("utf-8", "replace"), os.path.basename(path), a, False))
+                        rows.append((line.rstrip(b"\r\n").decode("utf-8", "replace"), os.path.basename(path), a, cut))
                         a += len(line)
         return iter(rows)
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from hostlens.operators import attribution, sessions
 
 SCHEMA = "host string, us long, arrival_seq long, action string, category string, user string, src_ip string, protocol string, keys array<string>, learn array<string>, severity int"
@@ -47,6 +49,7 @@ def test_two_records_of_one_login_merge(spark):
     assert [r.tracked_action for r in got] == ["session.start", "auth.success", "process.start", "session.start"]
     assert got[0].tracked_session == got[1].tracked_session == got[2].tracked_session != got[3].tracked_session
     assert got[2].tracked_ip == "192.0.2.1"
+    assert [r.linked_session for r in got] == [None, got[0].tracked_session, None, None]
 
 
 def test_reconnect_and_unknown(spark):
@@ -122,3 +125,36 @@ def test_snapshot(spark):
     assert [r.id for r in sessions.absent_sessions(s, live, "ts").collect()] == ["b"]
     assert sessions.fallback_user(spark.createDataFrame([(None, "root")], "user string, run_as string")).first().user == "root"
     assert sessions.inherit(spark.createDataFrame([("a", None, "x")], "session_id string, user string, src_ip string"), spark.createDataFrame([("a", "ann", "y")], "id string, user string, src_ip string")).select("user", "src_ip").first() == ("ann", "x")
+
+
+def test_a_reconnect_from_another_address(spark):
+    tracked = track(
+        spark,
+        [
+            ev(0, "session.start", "session", "ann", "192.0.2.1", "rdp", ["ts:1"]),
+            ev(5, "session.reconnect", "session", None, "192.0.2.9", "rdp", ["ts:1"]),
+            ev(6, "session.reconnect", "session", None, "192.0.2.1", "rdp", ["ts:1"]),
+            ev(500, "session.start", "session", "bob", "192.0.2.2", "rdp", ["ts:2"]),
+        ],
+    )
+    got = tracked.collect()
+    assert [(r.tracked_ip, r.original_ip, r.severity_floor) for r in got[1:3]] == [("192.0.2.9", "192.0.2.1", 1), ("192.0.2.1", None, 0)]
+    changed = sessions.changed_sessions(tracked, F.col("us") > 100_000_000).collect()
+    assert [r.user for r in changed] == ["bob"]
+
+
+def test_sessions_whose_processes_are_gone(spark):
+    s = spark.createDataFrame(
+        [
+            ("gone", "h", "ann", None, "active", ["pid:1", "pid:2", "pid:3"], 2),
+            ("alive", "h", "ann", None, "active", ["pid:1", "pid:4"], 2),
+            ("elsewhere", "g", "ann", "192.0.2.1", "disconnected", ["pid:4"], 1),
+            ("windows", "h", "ann", None, "active", ["ts:1"], 1),
+            ("ended", "h", "ann", None, "ended", ["pid:9"], 1),
+        ],
+        "id string, host string, user string, src_ip string, status string, keys array<string>, base_keys int",
+    )
+    gone = sessions.ended_sessions(s, spark.createDataFrame([("h", 4), ("h", 3)], "host string, pid long"))
+    assert sorted(r.id for r in gone.collect()) == ["elsewhere", "gone"]
+    e = sessions.unobserved_ends(gone, F.lit(7), False).orderBy("session_id").collect()
+    assert [(r.session_id, r.action, r.us, r.src_ip) for r in e] == [("elsewhere", "session.ended_unobserved", 7, "192.0.2.1"), ("gone", "session.ended_unobserved", 7, None)]

@@ -9,7 +9,7 @@ from hostlens.schema import adapted
 from hostlens.sinks import formats, stores
 from hostlens.streaming import stateful
 from hostlens.streaming.pipeline import AuditPipeline
-from hostlens.streaming.tail import LogTail, LogTailReader
+from hostlens.streaming.tail import LogTail, LogTailReader, truncations
 
 
 def in_parts(spark, df, folder, n, order="us"):
@@ -123,6 +123,8 @@ def test_stores(spark, tmp_path):
     t.merge(make(("c", 1, "again")))
     assert sorted(tuple(r) for r in t.read().collect()) == [("a", 2, "y"), ("b", 1, "x"), ("c", 1, "again")]
     assert len(t._versions()) == 2
+    t.delete(make(("b", 9, "any"), ("none", 1, "x")))
+    assert sorted(r.k for r in t.read().collect()) == ["a", "c"]
     stores.append_batch(make(("a", 1, "x")), f"{tmp_path}/b", 0)
     stores.append_batch(make(("a", 1, "x")), f"{tmp_path}/b", 0)
     assert stores.read_batches(spark, f"{tmp_path}/b").count() == 1
@@ -159,3 +161,43 @@ def test_formats(spark):
     for kind, key in (("slack", "text"), ("discord", "content"), ("teams", "summary"), ("generic", "title")):
         assert key in json.loads(n.select(formats.chat_payload(n, kind).alias("j")).first().j)
     assert "<td>&lt;b&gt;</td>" in formats.html_table("<t>", [spark.createDataFrame([("<b>",)], "a string").select(formats.html_row(["a"]).alias("r")).first().r], ["a"])
+
+
+def test_deflated_blobs(spark):
+    df = spark.createDataFrame([(bytearray(b"a" * 5000),), (bytearray(b""),), (None,)], "content binary")
+    packed = df.withColumn("z", stores.deflated(F.col("content")))
+    got = packed.withColumn("back", stores.inflated(F.col("z"))).collect()
+    assert [r.back for r in got] == [r.content for r in got] and len(got[0].z) < 100 and got[2].z is None
+    assert df.select(stores.inflated(F.col("content")).alias("x")).first().x is None
+
+
+def test_files_that_are_kept(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"part-{k}.json").write_text("{}")
+        os.utime(tmp_path / f"part-{k}.json", (1000 + k, 1000 + k))
+    assert stores.keep_newest(spark, str(tmp_path), 2) == ["part-0.json", "part-1.json", "part-2.json"]
+    assert stores.keep_newest(spark, f"{tmp_path}/none", 2) == []
+    events = spark.createDataFrame([(1, 0), (2, 3)], "id long, severity int")
+    assert [r.id for r in stores.severe(events, 2).collect()] == [2]
+
+
+TAIL = "value string, file string, offset long, truncated boolean"
+
+
+def test_truncation_is_told_and_replayed(spark, tmp_path):
+    reader, log = LogTailReader(str(tmp_path), "*.log"), tmp_path / "auth.log"
+    log.write_text("one\ntwo\n")
+    rows, first = reader.read({})
+    assert [r[0] for r in rows] == ["one", "two"]
+    log.write_text("new\n")
+    rows, second = reader.read(first)
+    rows = list(rows)
+    assert [(r[0], r[3]) for r in rows] == [("new", True)]
+    assert list(reader.readBetweenOffsets(first, second)) == rows
+    log.write_text("")
+    assert truncations(spark.createDataFrame(rows, TAIL)).count() == 1
+    rows, third = reader.read(second)
+    rows = list(rows)
+    assert [r[0] for r in rows] == [None] and list(reader.readBetweenOffsets(second, third)) == rows
+    e = truncations(spark.createDataFrame(rows, TAIL)).first()
+    assert (e.action, e.severity, e.target) == ("log.truncated", 3, "auth.log")

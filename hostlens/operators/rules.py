@@ -199,9 +199,19 @@ def privileged_login(events: DataFrame) -> DataFrame:
 def command_match(command: Column) -> Column:
     """rule and severity of the first pattern that matches; null for none.
 
-    The patterns are meant for Unicode classes of characters, which Java has only under (?U).
+    The patterns are meant for Unicode classes of characters, which Java has only under (?U). The first match is found
+    as a number and then looked up, which keeps the generated code of a stage within Java's limit for a method.
     """
-    return F.coalesce(*[F.when(command.rlike("(?U)" + p), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, p in COMMAND_PATTERNS])
+    first = F.lit(None).cast("int")
+    for n, (_, _, p) in reversed(list(enumerate(COMMAND_PATTERNS, 1))):
+        first = F.when(command.rlike("(?U)" + p), F.lit(n)).otherwise(first)
+    known = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity")) for r, s, _ in COMMAND_PATTERNS])
+    return F.get(known, first - 1)
+
+
+def any_command_match(command: Column) -> Column:
+    """Whether some pattern matches, by one expression: most commands are spared the rest."""
+    return command.rlike("(?U)" + "|".join(f"(?:{p})" for _, _, p in COMMAND_PATTERNS))
 
 
 def _runs(events: DataFrame) -> DataFrame:
@@ -209,7 +219,9 @@ def _runs(events: DataFrame) -> DataFrame:
 
 
 def suspicious_command(events: DataFrame) -> DataFrame:
-    e = _runs(events).withColumn("_hit", command_match(F.col("command_line"))).filter("_hit IS NOT NULL")
+    e = _runs(events).filter(any_command_match(F.col("command_line")))
+    # Exploded, so that later filters on the rule (suppressions) read the match instead of repeating its expression.
+    e = e.withColumn("_hit", F.explode(F.array(command_match(F.col("command_line")))))
     key = F.concat(F.coalesce("session_id", F.lit("")), F.lit("|"), truncate_bytes(F.col("command_line"), 200))
     return _alerts(e, F.col("_hit.rule"), key, F.col("_hit.severity"), F.concat(F.col("_hit.rule"), F.lit(": "), truncate_bytes(F.col("command_line"), 300))).drop("_hit")
 

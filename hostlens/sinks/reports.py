@@ -15,8 +15,11 @@ MOST_ROWS = 20_000
 
 
 def _section(title: str, rows: DataFrame, columns: list[str]) -> str:
-    found = [r[0] for r in rows.select(html_row(columns)).limit(MOST_ROWS).collect()]
-    return html_table(title, found, columns).split("<body>")[1].removesuffix("</body></html>").replace("h1>", "h2>")
+    """A table of the first MOST_ROWS rows; where there are more, a line says how many are not shown."""
+    found = [r[0] for r in rows.select(html_row(columns)).limit(MOST_ROWS + 1).collect()]
+    more = rows.count() - MOST_ROWS if len(found) > MOST_ROWS else 0
+    page = html_table(title, found[:MOST_ROWS], columns).split("<body>")[1].removesuffix("</body></html>").replace("h1>", "h2>")
+    return page + (f"<p>{more} more rows are not shown</p>" if more else "")
 
 
 def _page(title: str, facts: dict[str, object], sections: list[str]) -> str:

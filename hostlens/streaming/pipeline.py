@@ -1,7 +1,7 @@
-"""The audit pipeline as a stream: parsed events in, stored events, alerts and sessions out.
+"""The audit pipeline as a stream: parsed events in, stored events and alerts out.
 
-Each micro-batch is put in order, redacted, given its sessions and attributions, run through the rules, and appended
-under its batch number, so a batch that is run again replaces itself.
+Each micro-batch is redacted, appended under its batch number, so that a batch that is run again replaces itself, and
+run through the rules. Order (stateful.HeldOrder), sessions, attributions and chains are separate operators.
 """
 
 from __future__ import annotations

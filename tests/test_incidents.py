@@ -111,3 +111,12 @@ def test_source_choice(tmp_path):
     (tmp_path / "var/log").mkdir(parents=True)
     (tmp_path / "var/log/secure").touch()
     assert choose_source(None, True, str(tmp_path)).endswith("secure")
+
+
+def test_rows_beyond_a_page_are_told(spark, monkeypatch):
+    from hostlens.sinks import reports
+
+    monkeypatch.setattr(reports, "MOST_ROWS", 3)
+    rows = spark.range(5).select(F.col("id").alias("us"))
+    assert "2 more rows are not shown" in reports._section("Events", rows, ["us"])
+    assert "not shown" not in reports._section("Events", rows.limit(3), ["us"])

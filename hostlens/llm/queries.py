@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, perplexity, pii, quality, sharding, simhash, tokens, urls, warc
+from . import decontaminate, importance, mixing, perplexity, pii, quality, sharding, simhash, tokens, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash_groups": simhash.op8,
     "op9_url_vocabulary": urls.op9,
     "op10_warc_salvage": warc.op10,
+    "op11_importance_resampling": importance.op11,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_url_vocabulary": urls.OP9_SQL,
+    "op11_importance_resampling": importance.OP11_SQL,
 }

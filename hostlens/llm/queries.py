@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, importance, mixing, perplexity, pii, quality, sharding, simhash, tokens, urls, warc
+from . import collocations, decontaminate, importance, languages, mixing, perplexity, pii, quality, sharding, simhash, tokens, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_url_vocabulary": urls.op9,
     "op10_warc_salvage": warc.op10,
     "op11_importance_resampling": importance.op11,
+    "op12_language_filters": languages.op12,
+    "op13_collocations": collocations.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_url_vocabulary": urls.OP9_SQL,
     "op11_importance_resampling": importance.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }

@@ -14,7 +14,7 @@ def test_query_equals_sql(name, spark, sf, duck):
 
 
 def test_every_number_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, len(q.QUERIES) + 1))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_package():

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from hostlens.llm import common, decontaminate, importance, mixing, pii, quality, sharding, shingles, simhash, tokens, urls
+from hostlens.llm import common, decontaminate, importance, languages, mixing, pii, quality, sharding, shingles, simhash, tokens, urls
 
 OWN = ("doc_id", "text", "lang", "source", "page_id", "url", "html")
 
@@ -52,6 +52,7 @@ def test_all_operators(spark, crowded):
     check(cache.counts(crowded), crowded)
     check(urls.judged(crowded), crowded)
     check(importance.resampled(crowded, items), crowded)
+    check(languages.with_language(crowded, crowded), crowded)
     for one in (simhash.one_of_each, shingles.one_of_each):
         out = one(crowded)
         check(out, crowded, out.count())

@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +41,12 @@ RIVAL = 0.05
 HASHES = 3
 SLOTS_PER_GRAM = 8
 LONGEST = 1 << 16
-AT_ONCE = 100_000  # words that are looked up at a time
+SLICE = 1 << 19  # characters of a text that are split at a time
 MOST_HELD = 200_000  # distinct words that a task keeps
 MOST_LETTERS = 1 << 24  # and their letters
 UNKNOWN = "und"
 _WORD = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{LONGEST - 1}}}")
+_REST = regex.compile(rf"[\p{{L}}\p{{M}}]{{1,{LONGEST}}}")
 
 
 # -- n-grams ----------------------------------------------------------------------------------------------------------
@@ -54,9 +54,14 @@ _WORD = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{LONGEST - 1}}}")
 
 def words_of(text: str | None) -> Iterator[list[str]]:
     """The words of a text, lower-cased, some at a time: a letter and the letters and marks after it."""
-    found = (m[0].lower() for m in _WORD.finditer(text or ""))
-    while part := list(islice(found, AT_ONCE)):
-        yield part
+    text, at = text or "", 0
+    while at < len(text):
+        end = min(len(text), at + SLICE)
+        more = _REST.match(text, end) if end < len(text) else None
+        end = more.end() if more else end
+        if words := _WORD.findall(text[at:end].lower()):
+            yield words
+        at = end
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +163,18 @@ class Lookup:
     def sums(self, words: list[str]) -> np.ndarray:
         if len(self.place) > MOST_HELD or self.letters > MOST_LETTERS:
             self.clear()
-        new = list({w for w in words if w not in self.place})
+        place, times = self.place, Counter(words)
+        new = [w for w in times if w not in place]
         if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            first, last = len(place), len(place) + len(new)
+            place.update(zip(new, range(first, last), strict=True))
             self.letters += sum(map(len, new))
-            self.rows = np.concatenate([self.rows, self.model.hits(new)])
-        place = self.place
-        return self.rows[[place[w] for w in words]].sum(0)
+            if last > len(self.rows):  # grows by doubling, so that a row is seldom moved
+                rows = np.zeros((max(1024, 2 * last), self.rows.shape[1]), np.int64)
+                rows[:first] = self.rows[:first]
+                self.rows = rows
+            self.rows[first:last] = self.model.hits(new)
+        return np.fromiter(times.values(), np.int64, len(times)) @ self.rows[[place[w] for w in times]]
 
 
 def held_out(doc_id: Column) -> Column:

@@ -99,7 +99,7 @@ def test_texts_are_looked_up_alike_in_parts(spark, model, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     want = [(r.lang_pred, r.score) for r in L.identified(docs, model).orderBy("doc_id").collect()]
     lookup = L.Lookup(model)
-    for name, value in (("AT_ONCE", 7), ("MOST_HELD", 20)):
+    for name, value in (("SLICE", 7), ("MOST_HELD", 20)):
         monkeypatch.setattr(L, name, value)
     for (_, text), (pred, score) in zip(rows, want, strict=True):
         counts = sum(lookup.sums(words) for words in L.words_of(text))

@@ -7,7 +7,6 @@ event on which it fires skips the brute-force rule even where its alert is suppr
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -144,12 +143,28 @@ def _remote(events: DataFrame) -> DataFrame:
     return events.filter(is_meaningful_ip(F.col("src_ip")))
 
 
+#: Severities of the rules that look back.
+WINDOWED = {"password_spray": 2, "bruteforce": 2, "success_after_failures": 4, "new_source": 2}
+
+
+def windowed_title(rule: str, n: Column, s: Settings) -> Column:
+    """What a rule that looks back says about an event, given the number it found."""
+    n, who = n.cast("string"), F.coalesce("user", F.lit(""))
+    if rule == "password_spray":
+        return F.concat(F.lit("Password spraying from "), "src_ip", F.lit(": "), n, F.lit(f" different accounts tried in {s.window_seconds}s"))
+    if rule == "bruteforce":
+        return F.concat(F.lit("Brute force from "), "src_ip", F.lit(": "), n, F.lit(f" failed logins in {s.window_seconds}s"))
+    if rule == "success_after_failures":
+        return F.concat(F.lit("Login SUCCEEDED for "), who, F.lit(" from "), "src_ip", F.lit(" after "), n, F.lit(" failed attempts from that address"))
+    other = F.when(n == "1", "").otherwise("es")
+    return F.concat(who, F.lit(" logged in from a new address "), "src_ip", F.lit(" (previously seen from "), n, F.lit(" other address"), other, F.lit(")"))
+
+
 def password_spray(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Failures of many users from one address within the window."""
     f = sliding_distinct(_remote(events.filter("action = 'auth.failure'")), "src_ip", "user", s.window_seconds)
     f = f.filter(F.col("distinct_recent") >= s.spray_users)
-    title = F.concat(F.lit("Password spraying from "), "src_ip", F.lit(": "), F.col("distinct_recent").cast("string"), F.lit(f" different accounts tried in {s.window_seconds}s"))
-    return _alerts(f, "password_spray", F.col("src_ip"), 2, title)
+    return _alerts(f, "password_spray", F.col("src_ip"), 2, windowed_title("password_spray", F.col("distinct_recent"), s))
 
 
 def brute_force(events: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -157,8 +172,7 @@ def brute_force(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     f = sliding_count(_remote(events.filter("action = 'auth.failure'")), "src_ip", s.window_seconds)
     f = f.filter(F.col("recent") >= s.failure_threshold)
     spray = with_cooldown(password_spray(events, s), ["rule", "cooldown_key"], s.cooldown_seconds).select("id")
-    title = F.concat(F.lit("Brute force from "), "src_ip", F.lit(": "), F.col("recent").cast("string"), F.lit(f" failed logins in {s.window_seconds}s"))
-    return _alerts(f.join(spray, "id", "left_anti"), "bruteforce", F.col("src_ip"), 2, title)
+    return _alerts(f.join(spray, "id", "left_anti"), "bruteforce", F.col("src_ip"), 2, windowed_title("bruteforce", F.col("recent"), s))
 
 
 def success_after_failures(events: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -166,34 +180,58 @@ def success_after_failures(events: DataFrame, s: Settings = Settings()) -> DataF
     e = _remote(events.filter(F.col("action").isin("auth.failure", "session.start", "auth.success")))
     e = failures_before(e, "src_ip", 5 * s.window_seconds, F.col("action") == "auth.failure")
     e = e.filter((F.col("action") != "auth.failure") & (F.col("failures") >= s.success_failures))
-    who = F.coalesce("user", F.lit(""))
-    title = F.concat(F.lit("Login SUCCEEDED for "), who, F.lit(" from "), "src_ip", F.lit(" after "), F.col("failures").cast("string"), F.lit(" failed attempts from that address"))
-    return _alerts(e, "success_after_failures", F.col("src_ip"), 4, title)
+    return _alerts(e, "success_after_failures", F.col("src_ip"), 4, windowed_title("success_after_failures", F.col("failures"), s))
 
 
 def new_source(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     """A user's first login from an address, where the user is known from others."""
     h = source_history(_remote(events.filter("action = 'session.start'")).withColumn("user", F.coalesce("user", F.lit(""))))
     h = h.filter(F.col("first_seen") & (F.col("prior") > 0) & ~s.is_trusted(F.col("src_ip")))
-    other = F.when(F.col("prior") == 1, "").otherwise("es")
-    title = F.concat("user", F.lit(" logged in from a new address "), "src_ip", F.lit(" (previously seen from "), F.col("prior").cast("string"), F.lit(" other address"), other, F.lit(")"))
-    return _alerts(h, "new_source", F.concat_ws("|", "user", "src_ip"), 2, title)
+    return _alerts(h, "new_source", F.concat_ws("|", "user", "src_ip"), 2, windowed_title("new_source", F.col("prior"), s))
 
 
-def off_hours(events: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """A login outside business hours, once a user and day."""
-    e = _remote(events.filter("action = 'session.start'")).filter(~within_hours(F.col("ts"), s.business_hours, s.zone) & ~s.is_trusted(F.col("src_ip")))
+@dataclass(frozen=True)
+class Hit:
+    """A rule that looks at one event alone: when it holds, and what it says then."""
+
+    when: Column
+    rule: Column | str
+    key: Column
+    severity: Column | int
+    title: Column
+
+    def of(self, events: DataFrame) -> DataFrame:
+        return _alerts(events.filter(self.when), self.rule, self.key, self.severity, self.title)
+
+    def entry(self) -> Column:
+        """The hit as a struct; null where the rule does not hold."""
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+        own = F.struct(as_column(self.rule).alias("rule"), self.key.alias("cooldown_key"), as_column(self.severity).cast("int").alias("severity"), self.title.alias("title"), F.lit(None).cast("boolean").alias("notify"))
+        return F.when(self.when, own)
+
+
+def off_hours_hit(s: Settings) -> Hit:
+    when = (F.col("action") == "session.start") & is_meaningful_ip(F.col("src_ip")) & ~within_hours(F.col("ts"), s.business_hours, s.zone) & ~s.is_trusted(F.col("src_ip"))
     who = F.coalesce("user", F.lit(""))
     at = F.date_format(F.from_utc_timestamp("ts", s.zone), "HH:mm")
     title = F.concat(who, F.lit(" logged in at "), at, F.lit(f" local time, outside business hours ({s.business_hours})"))
-    return _alerts(e, "off_hours", F.concat(who, F.lit("|"), F.date_format("ts", "yyyyMMdd")), 1, title)
+    return Hit(when, "off_hours", F.concat(who, F.lit("|"), F.date_format("ts", "yyyyMMdd")), 1, title)
+
+
+def off_hours(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """A login outside business hours, once a user and day."""
+    return off_hours_hit(s).of(events)
+
+
+def privileged_login_hit() -> Hit:
+    when = (F.col("action") == "session.start") & F.col("protocol").isin("ssh", "rdp") & base_user(F.col("user")).isin(*PRIVILEGED)
+    title = F.concat(F.lit("Direct "), "protocol", F.lit(" login as "), "user", F.coalesce(F.concat(F.lit(" from "), "src_ip"), F.lit("")))
+    return Hit(when, "privileged_login", F.concat_ws("|", "user", F.coalesce("src_ip", F.lit(""))), 2, title)
 
 
 def privileged_login(events: DataFrame) -> DataFrame:
     """A direct login to an administrative account over the network."""
-    e = events.filter((F.col("action") == "session.start") & F.col("protocol").isin("ssh", "rdp") & base_user(F.col("user")).isin(*PRIVILEGED))
-    title = F.concat(F.lit("Direct "), "protocol", F.lit(" login as "), "user", F.coalesce(F.concat(F.lit(" from "), "src_ip"), F.lit("")))
-    return _alerts(e, "privileged_login", F.concat_ws("|", "user", F.coalesce("src_ip", F.lit(""))), 2, title)
+    return privileged_login_hit().of(events)
 
 
 def command_match(command: Column) -> Column:
@@ -214,25 +252,35 @@ def any_command_match(command: Column) -> Column:
     return command.rlike("(?U)" + "|".join(f"(?:{p})" for _, _, p in COMMAND_PATTERNS))
 
 
-def _runs(events: DataFrame) -> DataFrame:
-    return events.filter((F.col("category") == "process") | ((F.col("category") == "privilege") & (F.col("outcome") != "failure")))
+def _runs() -> Column:
+    return (F.col("category") == "process") | ((F.col("category") == "privilege") & (F.col("outcome") != "failure"))
+
+
+def _command_key() -> Column:
+    return F.concat(F.coalesce("session_id", F.lit("")), F.lit("|"), truncate_bytes(F.col("command_line"), 200))
+
+
+def _command_title(rule: Column) -> Column:
+    return F.concat(rule, F.lit(": "), truncate_bytes(F.col("command_line"), 300))
 
 
 def suspicious_command(events: DataFrame) -> DataFrame:
-    e = _runs(events).filter(any_command_match(F.col("command_line")))
+    e = events.filter(_runs()).filter(any_command_match(F.col("command_line")))
     # Exploded, so that later filters on the rule (suppressions) read the match instead of repeating its expression.
     e = e.withColumn("_hit", F.explode(F.array(command_match(F.col("command_line")))))
-    key = F.concat(F.coalesce("session_id", F.lit("")), F.lit("|"), truncate_bytes(F.col("command_line"), 200))
-    return _alerts(e, F.col("_hit.rule"), key, F.col("_hit.severity"), F.concat(F.col("_hit.rule"), F.lit(": "), truncate_bytes(F.col("command_line"), 300))).drop("_hit")
+    return _alerts(e, F.col("_hit.rule"), _command_key(), F.col("_hit.severity"), _command_title(F.col("_hit.rule"))).drop("_hit")
 
 
-def webserver_shell(events: DataFrame) -> DataFrame:
-    """A shell started by a web server."""
+def webserver_shell_hit() -> Hit:
     parent = F.lower(F.coalesce("parent_name", F.lit("")))
     web = reduce(lambda a, b: a | b, [wildcard_match(parent, p, True) for p in WEB_SERVERS])
-    e = _runs(events).filter(F.lower("process_name").isin(*SHELLS) & web)
     title = F.concat(F.lit("Web server process "), parent, F.lit(" spawned a shell ("), F.lower("process_name"), F.lit(")"))
-    return _alerts(e, "webserver_shell", F.concat(parent, F.lit("|"), F.coalesce("command_line", F.lit(""))), 3, title)
+    return Hit(_runs() & F.lower("process_name").isin(*SHELLS) & web, "webserver_shell", F.concat(parent, F.lit("|"), F.coalesce("command_line", F.lit(""))), 3, title)
+
+
+def webserver_shell(events: DataFrame) -> DataFrame:
+    """A shell started by a web server."""
+    return webserver_shell_hit().of(events)
 
 
 def sensitive_severity(path: Column) -> Column:
@@ -240,49 +288,72 @@ def sensitive_severity(path: Column) -> Column:
     return F.coalesce(*[F.when(wildcard_match(path, p), s) for p, s in SENSITIVE_FILES])
 
 
+def sensitive_title() -> Column:
+    who = F.coalesce(F.concat(F.lit(" by "), "user"), F.lit(" (actor not identified)"))
+    return F.concat(F.lit("Sensitive file "), F.regexp_replace("action", r"^file\.", ""), who, F.lit(": "), "target")
+
+
+def _sensitive_key() -> Column:
+    return F.concat("target", F.lit("|"), F.coalesce("after_sha", "action"))
+
+
 def sensitive_file(events: DataFrame) -> DataFrame:
     e = events.filter("category = 'file'").withColumn("_sev", sensitive_severity(F.col("target"))).filter("_sev IS NOT NULL")
-    who = F.coalesce(F.concat(F.lit(" by "), "user"), F.lit(" (actor not identified)"))
-    title = F.concat(F.lit("Sensitive file "), F.regexp_replace("action", r"^file\.", ""), who, F.lit(": "), "target")
-    return _alerts(e, "sensitive_file", F.concat("target", F.lit("|"), F.coalesce("after_sha", "action")), F.col("_sev"), title).drop("_sev")
+    return _alerts(e, "sensitive_file", _sensitive_key(), F.col("_sev"), sensitive_title()).drop("_sev")
 
 
-def account_change(events: DataFrame) -> DataFrame:
-    """Users created, deleted or enabled, and members added to administrative groups; group and member are columns."""
+def account_change_hit() -> Hit:
     target, group = F.coalesce("target", F.lit("")), F.lower(F.coalesce("group", F.lit("")))
     sev = F.when(F.col("action").isin("account.user_created", "account.user_deleted"), 2).when(F.col("action") == "account.user_enabled", 1)
     sev = sev.when((F.col("action") == "account.group_member_added") & group.isin(*ADMIN_GROUPS), 3)
-    e = events.filter("category = 'account'").withColumn("_sev", sev).filter("_sev IS NOT NULL")
     words = F.when(F.col("action") == "account.group_member_added", F.concat(F.coalesce("member", target), F.lit(" added to privileged group '"), group, F.lit("'")))
     title = words.otherwise(F.concat(F.lit("User account "), F.regexp_replace("action", r"^account\.user_", ""), F.lit(": "), target))
     # The cooldown is one for each action, the rule's name is the same for all.
     key = F.concat("action", F.lit("|"), target, F.lit("|"), F.coalesce("group", F.lit("")))
-    return _alerts(e, "account_change", key, F.col("_sev"), title).drop("_sev")
+    return Hit((F.col("category") == "account") & sev.isNotNull(), "account_change", key, sev, title)
 
 
-def privilege_failure(events: DataFrame) -> DataFrame:
-    """A failed sudo or su; the reason is a column, where there is one."""
-    reason = F.coalesce("reason", F.lit("authentication failure")) if "reason" in events.columns else F.lit("authentication failure")
-    e = events.filter("category = 'privilege' AND outcome = 'failure'")
+def account_change(events: DataFrame) -> DataFrame:
+    """Users created, deleted or enabled, and members added to administrative groups; group and member are columns."""
+    return account_change_hit().of(events)
+
+
+def privilege_failure_hit(columns: list[str]) -> Hit:
+    reason = F.coalesce("reason", F.lit("authentication failure")) if "reason" in columns else F.lit("authentication failure")
     who = F.coalesce("user", F.lit(""))
     sev = F.when(F.contains(reason, F.lit("NOT in sudoers")), 2).otherwise(1)
-    return _alerts(e, "privilege_failure", who, sev, F.concat(who, F.lit(" failed to elevate privileges ("), reason, F.lit(")")))
+    return Hit(F.expr("category = 'privilege' AND outcome = 'failure'"), "privilege_failure", who, sev, F.concat(who, F.lit(" failed to elevate privileges ("), reason, F.lit(")")))
+
+
+def privilege_failure(events: DataFrame) -> DataFrame:
+    """A failed sudo or su; the reason is a column, where there is one."""
+    return privilege_failure_hit(events.columns).of(events)
+
+
+def service_installed_hit() -> Hit:
+    what = F.coalesce("target", F.lit(""))
+    return Hit(F.expr("category = 'service' AND action = 'service.installed'"), "persistence_service", what, 2, F.concat(F.lit("New service installed: "), F.coalesce("target", F.lit("?"))))
 
 
 def service_installed(events: DataFrame) -> DataFrame:
-    e = events.filter("category = 'service' AND action = 'service.installed'")
-    return _alerts(e, "persistence_service", F.coalesce("target", F.lit("")), 2, F.concat(F.lit("New service installed: "), F.coalesce("target", F.lit("?"))))
+    return service_installed_hit().of(events)
+
+
+def scheduled_task_hit() -> Hit:
+    return Hit(F.col("action") == "persistence.scheduled_task", "persistence_task", F.coalesce("target", F.lit("")), 2, F.col("message"))
 
 
 def scheduled_task(events: DataFrame) -> DataFrame:
-    e = events.filter("action = 'persistence.scheduled_task'")
-    return _alerts(e, "persistence_task", F.coalesce("target", F.lit("")), 2, F.col("message"))
+    return scheduled_task_hit().of(events)
 
 
-def log_tampering(events: DataFrame) -> DataFrame:
-    e = events.filter("category = 'agent' AND action IN ('log.cleared', 'log.truncated')")
+def log_tampering_hit() -> Hit:
     sev = F.when(F.col("action") == "log.cleared", 4).otherwise(3)
-    return _alerts(e, "log_tampering", F.coalesce("target", F.lit("")), sev, F.concat(F.lit("Audit log tampering: "), "message"))
+    return Hit(F.expr("category = 'agent' AND action IN ('log.cleared', 'log.truncated')"), "log_tampering", F.coalesce("target", F.lit("")), sev, F.concat(F.lit("Audit log tampering: "), "message"))
+
+
+def log_tampering(events: DataFrame) -> DataFrame:
+    return log_tampering_hit().of(events)
 
 
 @dataclass(frozen=True)
@@ -330,18 +401,26 @@ CUSTOM_FIELDS = ("action", "user", "src_ip", "target", "command", "process")
 SUPPRESS_FIELDS = ("rule", "user", "src_ip", "target", "command", "process", "parent")
 
 
-def custom_rules(events: DataFrame, rules: list[CustomRule]) -> DataFrame:
-    """Candidates of all rules at once; rules without an id or with no field are ignored."""
+def _custom_hits(rules: list[CustomRule]) -> Column:
+    """The rules that an event matches, as an array; rules without an id or with no field are ignored."""
     used = [r for r in rules if r.id and any(_fields(r, CUSTOM_FIELDS).values())]
     none = F.lit(None).cast("struct<rule:string,severity:int,title:string,notify:boolean>")
     hits = [
         F.when(matches(_fields(r, CUSTOM_FIELDS)), F.struct(F.lit(f"custom.{r.id}").alias("rule"), F.lit(SEVERITY_ALIASES.get(r.severity.lower(), 2)).alias("severity"), F.lit(r.description or r.id).alias("title"), F.lit(r.notify).alias("notify")))
         for r in used
     ] or [none]
-    e = events.filter("category <> 'alert'").withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    key = F.concat_ws("|", "action", F.coalesce("target", F.lit("")), F.coalesce("command_line", F.lit("")))
+    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+
+
+def _custom_key() -> Column:
+    return F.concat_ws("|", "action", F.coalesce("target", F.lit("")), F.coalesce("command_line", F.lit("")))
+
+
+def custom_rules(events: DataFrame, rules: list[CustomRule]) -> DataFrame:
+    """Candidates of all rules at once."""
+    e = events.filter("category <> 'alert'").withColumn("_hit", F.explode(_custom_hits(rules)))
     title = F.concat(F.col("_hit.title"), F.lit(": "), "message")
-    return _alerts(e, F.col("_hit.rule"), key, F.col("_hit.severity"), title).withColumn("notify", F.col("_hit.notify")).drop("_hit")
+    return _alerts(e, F.col("_hit.rule"), _custom_key(), F.col("_hit.severity"), title).withColumn("notify", F.col("_hit.notify")).drop("_hit")
 
 
 def custom_rules_join(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -368,35 +447,48 @@ def suppressed(suppressions: list[Suppression]) -> Column:
     return reduce(lambda a, b: a | b, [matches(_fields(s, SUPPRESS_FIELDS)) for s in suppressions], F.lit(False))
 
 
-def candidates(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None, suppress: list[Suppression] | None = None) -> DataFrame:
-    """What every rule would alert on, less the suppressed, before cooldowns.
+def with_rule_columns(events: DataFrame) -> DataFrame:
+    """events with the columns that some rules need and events may lack, as nulls."""
+    return events.withColumns({c: F.lit(None).cast("string") for c in ("protocol", "group", "member", "reason") if c not in events.columns})
+
+
+def single_event_hits(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None) -> DataFrame:
+    """What the rules that look at one event alone alert on, found in one pass over the events.
+
+    An event meets all rules in one projection and is exploded by its hits; a command meets its patterns one by one
+    only if it meets the one expression of all of them."""
+    events = with_rule_columns(events)
+    hits = [privilege_failure_hit(events.columns), service_installed_hit(), scheduled_task_hit()]
+    hits += [off_hours_hit(s)] if s.business_hours else []
+    hits += [privileged_login_hit()] if s.privileged_login else []
+    hits += [webserver_shell_hit()] if s.webserver_shell else []
+    hits += [account_change_hit()] if s.account_changes else []
+    hits += [log_tampering_hit()] if s.log_tampering else []
+    entries = [h.entry() for h in hits]
+    if s.sensitive_files:
+        due = (F.col("category") == "file") & F.col("_sensitive").isNotNull()
+        events = events.withColumn("_sensitive", F.when(F.col("category") == "file", sensitive_severity(F.col("target"))))
+        entries.append(Hit(due, "sensitive_file", _sensitive_key(), F.col("_sensitive"), sensitive_title()).entry())
+    if s.suspicious_commands:
+        some = _runs() & any_command_match(F.col("command_line"))
+        events = events.withColumn("_command", F.when(some, command_match(F.col("command_line"))))
+        entries.append(Hit(F.col("_command").isNotNull(), F.col("_command.rule"), _command_key(), F.col("_command.severity"), _command_title(F.col("_command.rule"))).entry())
+    found = F.filter(F.array(*entries), lambda h: h.isNotNull())
+    if custom:
+        own = F.when(F.col("category") != "alert", _custom_hits(custom))
+        told = lambda h: F.struct(h["rule"].alias("rule"), _custom_key().alias("cooldown_key"), h["severity"].alias("severity"), F.concat(h["title"], F.lit(": "), "message").alias("title"), h["notify"].alias("notify"))
+        found = F.concat(found, F.coalesce(F.transform(own, told), F.array().cast("array<struct<rule:string,cooldown_key:string,severity:int,title:string,notify:boolean>>")))
+    out = events.withColumn("_found", F.explode(found)).withColumn("trigger_action", F.col("action"))
+    return out.withColumns({c: F.col(f"_found.{c}") for c in ("rule", "cooldown_key", "severity", "title", "notify")}).drop("_found", "_sensitive", "_command")
 
-    Columns of events that some rules need and events may lack (protocol, group, member, reason) are added as nulls.
-    """
-    for c in ("protocol", "group", "member", "reason"):
-        if c not in events.columns:
-            events = events.withColumn(c, F.lit(None).cast("string"))
-    rules: list[Callable[[], DataFrame] | None] = [
-        lambda: password_spray(events, s),
-        lambda: brute_force(events, s),
-        lambda: success_after_failures(events, s),
-        (lambda: new_source(events, s)) if s.new_source else None,
-        (lambda: off_hours(events, s)) if s.business_hours else None,
-        (lambda: privileged_login(events)) if s.privileged_login else None,
-        (lambda: suspicious_command(events)) if s.suspicious_commands else None,
-        (lambda: webserver_shell(events)) if s.webserver_shell else None,
-        (lambda: sensitive_file(events)) if s.sensitive_files else None,
-        (lambda: account_change(events)) if s.account_changes else None,
-        lambda: privilege_failure(events),
-        lambda: service_installed(events),
-        lambda: scheduled_task(events),
-        (lambda: log_tampering(events)) if s.log_tampering else None,
-        (lambda: custom_rules(events, custom)) if custom else None,
-    ]
+
+def candidates(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None, suppress: list[Suppression] | None = None) -> DataFrame:
+    """What every rule would alert on, less the suppressed, before cooldowns."""
+    events = with_rule_columns(events)
     keep = [*events.columns, "trigger_action", "rule", "cooldown_key", "title"]
-    found = [r() for r in rules if r]
-    found = [f.select(*keep, *(["notify"] if "notify" in f.columns else [F.lit(None).cast("boolean").alias("notify")])) for f in found]
-    every = reduce(DataFrame.unionByName, found)
+    found = [password_spray(events, s), brute_force(events, s), success_after_failures(events, s), *([new_source(events, s)] if s.new_source else [])]
+    found = [f.select(*keep, F.lit(None).cast("boolean").alias("notify")) for f in found]
+    every = reduce(DataFrame.unionByName, [single_event_hits(events, s, custom).select(*keep, "notify"), *found])
     return every.filter(~suppressed(suppress)) if suppress else every
 
 

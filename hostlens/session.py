@@ -9,12 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Streams with state variables and timers need it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _shipped: set[str] = set()
 
 
 def session(name: str = "hostlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution, as the operators expect; conf keys take __ for dots."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     if master:
         builder = builder.master(master)
     for k, v in conf.items():

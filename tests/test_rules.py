@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostlens.operators import rules
+from hostlens.schema import adapted
 
 COLUMNS = "id long, us long, host string, category string, action string, outcome string, severity int, user string, src_ip string, session_id string, process_name string, parent_name string, command_line string, target string, after_sha string, message string, protocol string"
 
@@ -128,3 +129,30 @@ def test_no_events_no_alerts(spark):
 def test_each_command_pattern_by_hand(spark, command, rule, severity):
     got = spark.createDataFrame([(command,)], "c string").select(rules.command_match(F.col("c")).alias("m")).first().m
     assert (got and (got.rule, got.severity)) == (rule and (rule, severity))
+
+
+def test_one_pass_equals_the_rules_one_by_one(spark, sf):
+    """single_event_hits against the functions of the rules, over the whole table and events of the other categories."""
+    e = rules.with_rule_columns(adapted(spark, sf))
+    more = {
+        "account": ("account.user_created", "account.group_member_added", "account.user_enabled", "account.other"),
+        "service": ("service.installed", "service.state"),
+        "agent": ("log.cleared", "log.truncated", "persistence.scheduled_task"),
+    }
+    for category, actions in more.items():
+        part = e.filter("id % 5 = 0").withColumn("category", F.lit(category)).withColumn("group", F.when(F.col("id") % 2 == 0, "sudo"))
+        for n, action in enumerate(actions):
+            e = e.unionByName(part.filter(F.col("id") % len(actions) == n).withColumn("action", F.lit(action)))
+    s = rules.Settings(business_hours="Mon-Fri 08:00-18:00", trusted=("203.0.113.1*",))
+    custom = [rules.CustomRule("etc", target="/etc/*"), rules.CustomRule("quiet", user="user1*", notify=False)]
+    one = [rules.off_hours(e, s), rules.privileged_login(e), rules.suspicious_command(e), rules.webserver_shell(e), rules.sensitive_file(e), rules.account_change(e), rules.privilege_failure(e), rules.service_installed(e), rules.scheduled_task(e), rules.log_tampering(e), rules.custom_rules(e, custom)]
+    show = lambda df: sorted((r.rule, r.id, r.action, str(r.cooldown_key), r.severity, str(r.title), r.trigger_action) for r in df.collect())
+    want = sorted(x for df in one for x in show(df))
+    assert show(rules.single_event_hits(e, s, custom)) == want and len({x[0] for x in want}) >= 11
+    off = rules.Settings(privileged_login=False, suspicious_commands=False, webserver_shell=False, sensitive_files=False, account_changes=False, log_tampering=False)
+    assert {r.rule for r in rules.single_event_hits(e, off).collect()} == {"privilege_failure", "persistence_service", "persistence_task"}
+
+
+def test_all_rules_read_the_events_few_times(spark, sf):
+    plan = rules.evaluate(adapted(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("Scan parquet") <= 8, plan.count("FileScan")

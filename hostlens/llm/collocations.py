@@ -34,7 +34,7 @@ from .common import UPPER, table, written
 from .textbytes import utf8
 
 SLICE = 1 << 20  # bytes of a text that are split at a time
-AT_ONCE = 100_000  # words that are looked up at a time
+AT_ONCE = 1 << 20  # bytes of a language's texts that are counted at a time
 MOST_HELD = 400_000  # phrases that a task counts before it sends their counts
 FILTER_BITS = 1 << 28  # 32 MB
 SLICES = 64  # of a language, for its best phrases
@@ -66,29 +66,41 @@ def _plain() -> bytes:
 
 PLAIN = _plain()
 _GAP = re.compile(b"[ \n]")
+END = b"\n"  # stands as a word at the end of a piece
 
 
-def runs(text: bytes, k: int) -> Iterator[list[bytes]]:
-    """Lists of consecutive words of a piece that together hold each phrase of k words once.
+def parts(text: bytes, k: int) -> Iterator[bytes]:
+    """A text as PLAIN has it, in parts that together hold each phrase of k words once.
 
-    A text is read in slices that end at the first gap at or after SLICE bytes; a piece that goes on takes its last
-    k - 1 words along."""
-    plain, at, tail = text.translate(PLAIN), 0, []
+    A part ends at the first gap at or after SLICE bytes; where a piece goes on, the next part begins with the piece's
+    last k - 1 words."""
+    plain = text.translate(PLAIN)
+    if len(plain) <= SLICE:
+        yield plain
+        return
+    at, tail = 0, b""
     while at < len(plain):
         cut = _GAP.search(plain, at + SLICE)
         end = cut.start() if cut else len(plain)
-        for j, piece in enumerate(plain[at:end].split(b"\n")):
-            words = piece.split() if j else tail + piece.split()
-            tail = words[max(0, len(words) - k + 1) :]
-            if len(words) >= k:
-                yield words
+        part = tail + plain[at:end]
+        yield part
+        words = part.rpartition(END)[2].split()
+        tail = b" ".join(words[max(0, len(words) - k + 1) :])
         at = end
 
 
+def words_of(plain: bytes) -> list[bytes]:
+    """The words, and an END for each end of a piece."""
+    return list(filter(None, plain.replace(END, b" \n ").split(b" ")))
+
+
 def digests(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+_END = np.uint64(xxhash.xxh3_64_intdigest(END))
+
+
 def phrase_digests(words: np.ndarray, k: int, lang: str) -> np.ndarray:
     """A digest of every k consecutive words, from the words' digests."""
     n = max(0, len(words) - k + 1)
@@ -147,28 +159,31 @@ class Counts:
     def __init__(self, k: int, known: Frequent | None):
         self.k, self.known = k, known
         self.counts: dict[str, Counter] = defaultdict(Counter)
-        self.waiting: dict[str, list[list[bytes]]] = defaultdict(list)
+        self.waiting: dict[str, list[bytes]] = defaultdict(list)
         self.size: Counter = Counter()
 
-    def add(self, lang: str, words: list[bytes]) -> None:
-        self.waiting[lang].append(words)
-        self.size[lang] += len(words)
+    def add(self, lang: str, part: bytes) -> None:
+        self.waiting[lang].append(part)
+        self.size[lang] += len(part)
         if self.size[lang] >= AT_ONCE:
             self.count(lang)
 
     def count(self, lang: str) -> None:
-        own, k, counts = self.waiting.pop(lang, []), self.k, self.counts[lang]
+        k, counts = self.k, self.counts[lang]
+        words = words_of(END.join(self.waiting.pop(lang, [])))
         self.size[lang] = 0
-        words = [w for run in own for w in run]
         if self.known is None:
             counts.update(words)
-            counts[None] += len(words)
+            counts[None] += len(words) - counts.pop(END, 0)
             return
-        part = self.known.has(phrase_digests(digests(words), k - 1, lang))
-        ends = np.repeat(np.cumsum([len(r) for r in own]), [len(r) for r in own])
+        own = digests(words)
+        part = self.known.has(phrase_digests(own, k - 1, lang))
         n = len(words) - k + 1
         if n > 0:
-            due = part[:n] & part[1 : n + 1] & (np.arange(k, n + k) <= ends[:n])
+            due = part[:n] & part[1 : n + 1]
+            inner = own != _END
+            for j in range(k):
+                due &= inner[j : j + n]
             counts.update([b" ".join(words[i : i + k]) for i in np.flatnonzero(due).tolist()])
 
     def many(self) -> bool:
@@ -196,14 +211,14 @@ def level(docs: DataFrame, k: int, known: Frequent | None, least: int) -> DataFr
         for b in batches:
             data, at = utf8(b.column("text"))
             for lang, a, e in zip(b.column("lang").to_pylist(), at[:-1], at[1:], strict=True):
-                for words in runs(data[a:e].tobytes(), k):
-                    found.add(lang, words)
+                for part in parts(data[a:e].tobytes(), k):
+                    found.add(lang, part)
                 if found.many():
                     yield from found.give()
         yield from found.give()
 
-    parts = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull())
+    counted = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull())
 
 
 def levels(docs: DataFrame, most: Phrases) -> tuple[DataFrame, list[DataFrame]]:
@@ -228,10 +243,10 @@ def scored(found: list[DataFrame], most: Phrases) -> DataFrame:
     size = F.size("words")
     cuts = candidates.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     sides = F.array(F.struct(F.lit(0).alias("side"), _slice(F.col("words"), 1, F.col("k")).alias("part")), F.struct(F.lit(1).alias("side"), _slice(F.col("words"), F.col("k") + 1, size).alias("part")))
-    parts = cuts.select("lang", "phrase", "a", "k", F.inline(sides))
+    halves = cuts.select("lang", "phrase", "a", "k", F.inline(sides))
     known = reduce(DataFrame.unionByName, found[:-1]).select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
     none = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
-    looked_up = parts.join(known, ["lang", "part"]).select("lang", "phrase", "a", "k", "side", "f", *none("cover"))
+    looked_up = halves.join(known, ["lang", "part"]).select("lang", "phrase", "a", "k", "side", "f", *none("cover"))
     # Every shorter phrase of two words or more inside a candidate, with the candidate's count.
     inside = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda s: F.transform(F.sequence(F.lit(1), size - s + 1), lambda p: _slice(F.col("words"), p, s))))
     covers = candidates.filter(size > 2).select("lang", F.explode(inside).alias("phrase"), *none("a", "k", "side", "f"), F.col("a").alias("cover"))

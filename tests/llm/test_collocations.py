@@ -56,33 +56,37 @@ def test_equals_brute_force(spark, rows, most):
     assert got == plain(rows, most) and len(got) > 10
 
 
-def test_small_slices_and_bounds_change_nothing(spark, rows, monkeypatch):
-    most = SETTINGS[0]
-    for name, value in (("SLICE", 8), ("AT_ONCE", 5), ("MOST_HELD", 10)):
+def phrases(text, k):
+    """The phrases of k words of a text, as its parts have them."""
+    out = Counter()
+    for part in C.parts(text.encode(), k):
+        words = C.words_of(part)
+        found = [words[a : a + k] for a in range(len(words) - k + 1)]
+        out.update(b" ".join(w).decode() for w in found if C.END not in w)
+    return out
+
+
+def test_small_slices_and_bounds_change_nothing(rows, monkeypatch):
+    long = prose(5, 60) + ", " + prose(6, 60)
+    texts = [t or "" for _, t in rows] + [long]
+    whole = {k: [phrases(t, k) for t in texts] for k in (1, 2, 3, 4)}
+    for name, value in (("SLICE", 8), ("AT_ONCE", 50), ("MOST_HELD", 10)):
         monkeypatch.setattr(C, name, value)
-    text = (prose(5, 60) + ", " + prose(6, 60)).encode()
-    for k in (1, 2, 3, 4):
-        phrases = lambda size, k=k: (monkeypatch.setattr(C, "SLICE", size), Counter(b" ".join(w[a : a + k]) for w in C.runs(text, k) for a in range(len(w) - k + 1)))[1]
-        assert phrases(8) == phrases(1 << 20)
-    monkeypatch.setattr(C, "SLICE", 8)
-    for known in (None, C.Frequent(C.np.full(64, 2**64 - 1, C.np.uint64))):
-        counts = C.Counts(2 if known else 1, known)
-        total = Counter()
-        for _, t in rows:
-            for words in C.runs((t or "").encode(), counts.k):
-                counts.add("en", words)
-            if counts.many():
-                for b in counts.give():
-                    total.update(dict(zip(b.column("phrase").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    assert len(list(C.parts(long.encode(), 3))) > 20
+    for k in whole:
+        assert [phrases(t, k) for t in texts] == whole[k]
+    everything = C.Frequent(C.np.full(64, 2**64 - 1, C.np.uint64))
+    for k in whole:
+        counts, total = C.Counts(k, everything if k > 1 else None), Counter()
+        for t in texts:
+            for part in C.parts(t.encode(), k):
+                counts.add("en", part)
+            for b in counts.give() if counts.many() else ():
+                total.update(dict(zip(b.column("phrase").to_pylist(), b.column("n").to_pylist(), strict=True)))
         for b in counts.give():
             total.update(dict(zip(b.column("phrase").to_pylist(), b.column("n").to_pylist(), strict=True)))
-        monkeypatch.setattr(C, "SLICE", 1 << 20)
-        whole = Counter()
-        for _, t in rows:
-            for words in C.runs((t or "").encode(), counts.k):
-                whole.update(b" ".join(words[a : a + counts.k]).decode() for a in range(len(words) - counts.k + 1))
-        total.pop(None, None)
-        assert total == whole
+        words = total.pop(None, 0)
+        assert total == sum(whole[k], Counter()) and (k > 1 or words == total.total())
 
 
 def test_a_full_filter_gives_the_same(spark, rows, monkeypatch):

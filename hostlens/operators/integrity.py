@@ -53,6 +53,47 @@ def build_chain(events: DataFrame, shard: list[str], order: list[str], columns:
     return fold(rows, shard, order, partial(Chain, head), CHAIN, inputs=["chain_text"]).drop("chain_text")
 
 
+CONTINUED = struct_of("seq BIGINT, prev_hash STRING, hash STRING")
+
+
+class ContinuedChain(Chain):
+    """A chain that goes on from where its first row, a stored head, says; the head itself is not handed on."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows = 0
+
+    def feed(self, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, list]]:
+        start = 0
+        if rows["_head"][0] is not None:
+            self.head, self.rows, start = rows["_head"][0], int(rows["_rows"][0]), 1
+        _, out = super().feed({"chain_text": rows["chain_text"][start:]})
+        n = len(out["hash"])
+        self.rows += n
+        keep = np.ones(start + n, bool)
+        keep[:start] = False
+        return keep, {"seq": list(range(self.rows - n + 1, self.rows + 1))} | out
+
+
+def continue_chain(rows: DataFrame, heads: DataFrame | None, shard: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """rows with seq, prev_hash and hash, where each shard's chain goes on from its head (shard, head, rows: how many
+    rows it has had).
+
+    A head goes with its shard's rows as a row before all others, so nothing is joined or looked up."""
+    own = rows.withColumns({"chain_text": chain_text([F.col(f"`{c}`") for c in columns]), "_head": F.lit(None).cast("string"), "_rows": F.lit(None).cast("long"), "_first": F.lit(1)})
+    if heads is not None:
+        known = heads.join(rows.select(*shard).distinct(), shard, "left_semi")
+        known = known.select(*shard, F.col("head").alias("_head"), F.col("rows").alias("_rows"), F.lit(0).alias("_first"))
+        own = own.unionByName(known, allowMissingColumns=True)
+    return fold(own, shard, ["_first", *order], ContinuedChain, CONTINUED, inputs=["chain_text", "_head", "_rows"]).drop("chain_text", "_head", "_rows", "_first")
+
+
+def next_heads(chained: DataFrame, heads: DataFrame | None, shard: list[str]) -> DataFrame:
+    """The heads after `chained`: shard, head, rows."""
+    new = chained.groupBy(*shard).agg(F.max_by("hash", "seq").alias("head"), F.max("seq").alias("rows"))
+    return new if heads is None else new.unionByName(heads.join(new.select(*shard), shard, "left_anti").select(*new.columns))
+
+
 def verify(events: DataFrame, shard: list[str], columns: list[str], order: str = "id", anchors: DataFrame | None = None, heads: DataFrame | None = None, gapless: bool = True) -> DataFrame:
     """Problems of chains: shard, the row's order column, and problem.
 

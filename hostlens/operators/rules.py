@@ -387,9 +387,10 @@ class Suppression:
 FIELD_COLUMNS = {"action": "action", "user": "user", "src_ip": "src_ip", "target": "target", "command": "command_line", "process": "process_name", "parent": "parent_name", "rule": "rule"}
 
 
-def matches(patterns: dict[str, str]) -> Column:
-    """All non-empty patterns match; a null value matches none."""
-    hits = [F.coalesce(wildcard_match(F.col(FIELD_COLUMNS[k]), p, True), F.lit(False)) for k, p in patterns.items() if p]
+def matches(patterns: dict[str, str], rule: Column | None = None) -> Column:
+    """All non-empty patterns match; a null value matches none. rule: where it is no column of that name."""
+    value = lambda k: rule if k == "rule" and rule is not None else F.col(FIELD_COLUMNS[k])
+    hits = [F.coalesce(wildcard_match(value(k), p, True), F.lit(False)) for k, p in patterns.items() if p]
     return reduce(lambda a, b: a & b, hits, F.lit(True))
 
 
@@ -443,8 +444,8 @@ def custom_rules_join(events: DataFrame, rules: DataFrame) -> DataFrame:
     return a.unionByName(b).drop(*[f"p_{c}" for c in CUSTOM_FIELDS])
 
 
-def suppressed(suppressions: list[Suppression]) -> Column:
-    return reduce(lambda a, b: a | b, [matches(_fields(s, SUPPRESS_FIELDS)) for s in suppressions], F.lit(False))
+def suppressed(suppressions: list[Suppression], rule: Column | None = None) -> Column:
+    return reduce(lambda a, b: a | b, [matches(_fields(s, SUPPRESS_FIELDS), rule) for s in suppressions], F.lit(False))
 
 
 def with_rule_columns(events: DataFrame) -> DataFrame:
@@ -452,11 +453,15 @@ def with_rule_columns(events: DataFrame) -> DataFrame:
     return events.withColumns({c: F.lit(None).cast("string") for c in ("protocol", "group", "member", "reason") if c not in events.columns})
 
 
-def single_event_hits(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None) -> DataFrame:
-    """What the rules that look at one event alone alert on, found in one pass over the events.
+HIT = "array<struct<rule:string,cooldown_key:string,severity:int,title:string,notify:boolean>>"
+HELPERS = ("_sensitive", "_command")
+
+
+def hits_of_each(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None) -> tuple[DataFrame, Column]:
+    """events with HELPERS, and as an array (HIT) what the rules that look at one event alone say of each.
 
-    An event meets all rules in one projection and is exploded by its hits; a command meets its patterns one by one
-    only if it meets the one expression of all of them."""
+    An event meets all rules in one projection; a command meets its patterns one by one only if it meets the one
+    expression of all of them."""
     events = with_rule_columns(events)
     hits = [privilege_failure_hit(events.columns), service_installed_hit(), scheduled_task_hit()]
     hits += [off_hours_hit(s)] if s.business_hours else []
@@ -464,22 +469,26 @@ def single_event_hits(events: DataFrame, s: Settings = Settings(), custom: list[
     hits += [webserver_shell_hit()] if s.webserver_shell else []
     hits += [account_change_hit()] if s.account_changes else []
     hits += [log_tampering_hit()] if s.log_tampering else []
-    entries = [h.entry() for h in hits]
+    severity = F.when(F.col("category") == "file", sensitive_severity(F.col("target"))) if s.sensitive_files else F.lit(None).cast("int")
+    command = F.when(_runs() & any_command_match(F.col("command_line")), command_match(F.col("command_line"))) if s.suspicious_commands else F.lit(None).cast("struct<rule:string,severity:int>")
+    events = events.withColumns({"_sensitive": severity, "_command": command})
     if s.sensitive_files:
-        due = (F.col("category") == "file") & F.col("_sensitive").isNotNull()
-        events = events.withColumn("_sensitive", F.when(F.col("category") == "file", sensitive_severity(F.col("target"))))
-        entries.append(Hit(due, "sensitive_file", _sensitive_key(), F.col("_sensitive"), sensitive_title()).entry())
+        hits.append(Hit(F.col("_sensitive").isNotNull(), "sensitive_file", _sensitive_key(), F.col("_sensitive"), sensitive_title()))
     if s.suspicious_commands:
-        some = _runs() & any_command_match(F.col("command_line"))
-        events = events.withColumn("_command", F.when(some, command_match(F.col("command_line"))))
-        entries.append(Hit(F.col("_command").isNotNull(), F.col("_command.rule"), _command_key(), F.col("_command.severity"), _command_title(F.col("_command.rule"))).entry())
-    found = F.filter(F.array(*entries), lambda h: h.isNotNull())
+        hits.append(Hit(F.col("_command").isNotNull(), F.col("_command.rule"), _command_key(), F.col("_command.severity"), _command_title(F.col("_command.rule"))))
+    found = F.filter(F.array(*[h.entry() for h in hits]), lambda h: h.isNotNull())
     if custom:
         own = F.when(F.col("category") != "alert", _custom_hits(custom))
         told = lambda h: F.struct(h["rule"].alias("rule"), _custom_key().alias("cooldown_key"), h["severity"].alias("severity"), F.concat(h["title"], F.lit(": "), "message").alias("title"), h["notify"].alias("notify"))
-        found = F.concat(found, F.coalesce(F.transform(own, told), F.array().cast("array<struct<rule:string,cooldown_key:string,severity:int,title:string,notify:boolean>>")))
+        found = F.concat(found, F.coalesce(F.transform(own, told), F.array().cast(HIT)))
+    return events, found
+
+
+def single_event_hits(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None) -> DataFrame:
+    """What the rules that look at one event alone alert on, found in one pass over the events."""
+    events, found = hits_of_each(events, s, custom)
     out = events.withColumn("_found", F.explode(found)).withColumn("trigger_action", F.col("action"))
-    return out.withColumns({c: F.col(f"_found.{c}") for c in ("rule", "cooldown_key", "severity", "title", "notify")}).drop("_found", "_sensitive", "_command")
+    return out.withColumns({c: F.col(f"_found.{c}") for c in ("rule", "cooldown_key", "severity", "title", "notify")}).drop("_found", *HELPERS)
 
 
 def candidates(events: DataFrame, s: Settings = Settings(), custom: list[CustomRule] | None = None, suppress: list[Suppression] | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ A `process.snapshot` tells which process ids are alive (`learn`): sessions that
 which is there end when the next timer finds them. A `session.snapshot` tells the live keys of one kind (`keys`, the
 kind as target): open sessions with a login key of that kind, none of whose keys is listed, end at once.
 
-Rows that cannot be handled go on as `bad`, with the reason, and do not disturb the rest. All columns of the events
+Rows that cannot be handled, and those that come with an `error`, go on as `bad` with the reason and do not disturb the
+rest. All columns of the events
 pass through as one JSON text, which the state neither reads nor changes.
 """
 
@@ -37,7 +38,7 @@ REAP_SECONDS = 60
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "true"}
 
 #: What the state reads, beside the host.
-READ = ("us", "arrival_seq", "action", "category", "user", "src_ip", "protocol", "target", "message", "keys", "learn", "body")
+READ = ("us", "arrival_seq", "action", "category", "user", "src_ip", "protocol", "target", "message", "keys", "learn", "error", "body")
 #: kind: event, mark, bad or ended (a session's unobserved end, without a body).
 OUT = T.StructType([*struct_of("host STRING, us BIGINT, arrival_seq BIGINT, kind STRING, error STRING, body STRING").fields, *TRACKED.fields])
 
@@ -125,7 +126,10 @@ class HostState(StatefulProcessor):
         before = json.dumps([t.live, t.owner])
         out = []
         for r in due:
-            us, _, action, category, user, ip, protocol, target, _, keys, learn, _ = r
+            us, _, action, category, user, ip, protocol, target, _, keys, learn, error, _ = r
+            if error is not None:
+                out.append(self._row(host, r, "bad", error))
+                continue
             try:
                 if action == ALIVE:
                     if us is not None:
@@ -167,7 +171,8 @@ class HostState(StatefulProcessor):
 
 
 def host_rows(events: DataFrame, hold_seconds: float = 2, most_seconds: float = 10, reap_seconds: float = REAP_SECONDS) -> DataFrame:
-    """Events (host and READ but the body, and any others) of a stream as OUT: in order, with sessions, marks and bad rows.
+    """Events of a stream (host, the columns READ but the body, where missing null, and any others) as OUT: in order,
+    with sessions, marks and bad rows.
 
     Needs the RocksDB state store (hostlens.session sets it)."""
     ship(events.sparkSession)
@@ -178,7 +183,9 @@ def host_rows(events: DataFrame, hold_seconds: float = 2, most_seconds: float =
 
 
 def opened(rows: DataFrame, kind: T.StructType) -> DataFrame:
-    """OUT rows with the columns of the events (type `kind`) instead of the body; host, us and arrival_seq are OUT's."""
+    """OUT rows with the columns of the events (type `kind`) instead of the body, which bad rows keep as _raw; host, us
+    and arrival_seq are OUT's."""
     event = F.from_json("body", kind, JSON)
     own = [c for c in OUT.fieldNames() if c != "body"]
-    return rows.withColumn("_event", event).select(*own, *[F.col(f"_event.`{f.name}`").alias(f.name) for f in kind.fields if f.name not in own])
+    columns = [F.col(f"_event.`{f.name}`").alias(f.name) for f in kind.fields if f.name not in own]
+    return rows.withColumn("_event", event).select(*own, *columns, F.when(F.col("kind") == "bad", F.col("body")).alias("_raw"))

@@ -97,7 +97,8 @@ class HeldOrder:
 
     Rows wait until the newest event time seen is `hold_seconds` past theirs; then they go, sorted by time and arrival,
     to `process(rows, batch)`. What waits is kept as a table per batch, so a batch that is tried again starts from the
-    same rows. A row later than that goes with the next batch. flush() hands on what is left.
+    same rows; tables older than that go. A row later than that goes with the next batch, a row without a time at once.
+    flush() hands on what is left. hosts.host_rows holds rows in keyed state instead, with a limit in processing time.
     """
 
     def __init__(self, folder: str, process: Callable[[DataFrame, int], None], hold_seconds: int = 2, ts: str = "ts", seq: str = "arrival_seq"):
@@ -113,9 +114,11 @@ class HeldOrder:
         held = self._held(spark, batch - 1, rows.schema)
         every = rows if held is None else held.unionByName(rows)
         newest = every.agg(F.max(self.ts)).first()[0]
-        due = F.col(self.ts) <= F.lit(newest) - F.expr(f"INTERVAL {self.hold} SECONDS")
-        every.filter(~due | F.col(self.ts).isNull()).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        due = F.col(self.ts).isNull() | (F.col(self.ts) <= F.lit(newest) - F.expr(f"INTERVAL {self.hold} SECONDS"))
+        every.filter(~due).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
         self.process(every.filter(due).orderBy(self.ts, self.seq), batch)
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch={batch - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     def flush(self, spark: SparkSession, batch: int, schema: T.StructType) -> None:
         held = self._held(spark, batch, schema)

@@ -1,7 +1,13 @@
 """Who changed it: a change is matched with the commands that ran shortly before it, and with the sessions then open.
 
-An interval join without an equality compares everything with everything, so both sides carry their host and a bucket
-of time: a command stands in its own bucket, a change asks in the buckets its window touches.
+No change is ever paired with the commands before it. Which distinct command lines name which distinct targets is found
+once, through an inverted index of what a command line could name (`named`); then commands and changes of one host and
+one target are swept in time order, and each change takes the last command before it. So a host with many changes and
+many commands within minutes costs in proportion to them. The sweep is a window over a host and a target (for tiers 4
+and 5 over a host's changes and the runs of those few programs), which sorts and spills; none is held in memory.
+
+Interval joins on a host (related changes) carry a bucket of time: an event stands in its own bucket, a change asks in
+the buckets its window touches.
 """
 
 from __future__ import annotations
@@ -31,15 +37,57 @@ def recent_commands(events: DataFrame) -> DataFrame:
     return p.select(*columns).unionByName(s.select(*columns))
 
 
-def tier(command: Column, name: Column, cwd: Column, age_us: Column, target: Column) -> Column:
-    """1 and 2 high, 3 to 5 medium, null where the command says nothing about the target."""
-    is_path = target.rlike(r"[/\\]")
-    base = basename(target)
-    names_it = F.when(is_path, F.contains(command, target)).otherwise(mentions_token(command, target))
-    near = age_us <= NEAR_SECONDS * 1_000_000
-    token = mentions_token(command, base)
-    out = F.when(names_it, 1).when(token & F.coalesce(cwd == dirname(target), F.lit(False)), 2).when((F.octet_length(base) >= 4) & token, 3)
-    return out.when(near & F.lower(name).isin(*PACKAGE_MANAGERS), 4).when(near & F.lower(name).isin(*AUTOMATION), 5)
+# -- which command names which target ----------------------------------------------------------------------------------
+
+#: What may stand beside a name (functions.scalars.mentions_token).
+EDGES = r"[\s/\\'\"=<>|;&(),:]"
+MOST_PREFIX = 64
+
+
+def _key(*parts: Column | str) -> Column:
+    return F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _command_keys(command: Column) -> Column:
+    """Keys of everything that a command line could name.
+
+    It is cut at the edges. A name that stands between edges is found by any of its pieces between them, which are
+    pieces of the command; a path that stands anywhere in it by its last piece, which begins one of the command's, and
+    the piece before, if that has an edge before it in the path. Key 0 finds names without a piece."""
+    pieces = F.split(command, EDGES, -1)
+    heads = lambda p: F.transform(F.sequence(F.lit(0), F.least(F.length(p), F.lit(MOST_PREFIX))), lambda n: F.substring(p, F.lit(1), n))
+    alone = F.flatten(F.transform(pieces, lambda p: F.transform(heads(p), lambda h: _key("path", h))))
+    after = F.flatten(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.when(i > 0, F.transform(heads(F.get(pieces, i)), lambda h: _key("dir", F.get(pieces, i - 1), h))).otherwise(F.array().cast("array<bigint>"))))
+    return F.array_distinct(F.concat(F.transform(pieces, lambda p: _key("name", p)), alone, after, F.array(F.lit(0).cast("bigint"))))
+
+
+def _name_key(name: Column) -> Column:
+    """The key under which a command finds a name between edges: its longest piece."""
+    pieces = F.split(name, EDGES, -1)
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))
+    return F.when(longest["n"] > 0, _key("name", longest["piece"])).otherwise(F.lit(0).cast("bigint"))
+
+
+def _path_key(path: Column) -> Column:
+    pieces = F.split(path, EDGES, -1)
+    head = F.substring(F.element_at(pieces, -1), 1, MOST_PREFIX)
+    return F.when(F.size(pieces) > 2, _key("dir", F.get(pieces, F.size(pieces) - 2), head)).otherwise(_key("path", head))
+
+
+def _is_path(target: Column) -> Column:
+    return target.rlike(r"[/\\]")
+
+
+def named(commands: DataFrame, targets: DataFrame) -> DataFrame:
+    """command_line, what, text: which distinct command lines name which distinct texts.
+
+    commands: command_line; targets: what (`target` or `base`) and text. A target that is a path is named wherever it
+    stands, other texts where they stand between edges. Only pairs that share a key are looked at, and then exactly."""
+    t = targets.select("what", "text").distinct().withColumn("_path", (F.col("what") == "target") & _is_path(F.col("text")))
+    t = t.withColumn("_key", F.when(F.col("_path"), _path_key(F.col("text"))).otherwise(_name_key(F.col("text"))))
+    c = commands.select("command_line").distinct().select("command_line", F.explode(_command_keys(F.col("command_line"))).alias("_key"))
+    sure = F.when(F.col("_path"), F.contains("command_line", "text")).otherwise(mentions_token(F.col("command_line"), F.col("text")))
+    return c.join(t, "_key").filter(sure).select("command_line", "what", "text").distinct()
 
 
 def in_window(changes: DataFrame, commands: DataFrame, before: int, after: int) -> DataFrame:
@@ -58,15 +106,33 @@ def in_window(changes: DataFrame, commands: DataFrame, before: int, after: int)
 def attribute(changes: DataFrame, commands: DataFrame, lookback: int = LOOKBACK_SECONDS) -> DataFrame:
     """Each change (id, host, us, target) with its best command: the lowest tier, then the newest.
 
-    The pairs are aggregated, not ranked: of a change only the best is kept on either side of the shuffle.
-    """
-    pairs = in_window(changes.select("id", "host", "us", "target"), commands, lookback, AHEAD_SECONDS)
-    pairs = pairs.withColumn("tier", tier(F.col("c_command_line"), F.col("c_name"), F.col("c_cwd"), F.col("us") - F.col("c_us"), F.col("target"))).filter("tier IS NOT NULL")
-    best = F.min_by(F.struct("tier", "c_id", "c_us", "c_session_id", "c_user", "c_pid", "c_name", "c_command_line"), F.struct(F.col("tier"), -F.col("c_us"), -F.col("c_id"))).alias("b")
-    out = pairs.groupBy("id").agg(best).select("id", "b.*")
+    Tier 1: the command names the target. 2: it names the file, from the file's directory. 3: it names a file of that
+    name, of at least four bytes. 4 and 5: a package manager or an automation ran within five minutes."""
+    ch = changes.select("id", "host", "us", "target").withColumns({"base": basename(F.col("target")), "dir": dirname(F.col("target"))})
+    cm = commands.select("host", F.struct(*[F.col(c).alias(f"c_{c}") for c in ("us", "id", "session_id", "user", "pid", "name", "command_line")]).alias("c"), F.col("us").alias("at"), "command_line", "name", "cwd")
+    wanted = ch.select("host", F.explode(F.array(F.struct(F.lit("target").alias("what"), F.col("target").alias("text")), F.struct(F.lit("base").alias("what"), F.col("base").alias("text")))).alias("w")).select("host", "w.*").filter("length(text) > 0").distinct()
+    hits = cm.join(named(commands, wanted), "command_line").join(wanted, ["host", "what", "text"], "left_semi")
+    none = F.lit("")
+    # Commands stand at their time under each text that they can explain, changes under each text that can explain them.
+    one = F.struct(F.lit(1).alias("tier"), F.col("text").alias("text"), none.alias("cwd"))
+    two = F.when(F.col("cwd").isNotNull(), F.struct(F.lit(2).alias("tier"), F.col("text").alias("text"), F.col("cwd").alias("cwd")))
+    three = F.when(F.octet_length("text") >= 4, F.struct(F.lit(3).alias("tier"), F.col("text").alias("text"), none.alias("cwd")))
+    ways = F.when(F.col("what") == "target", F.array(one)).otherwise(F.filter(F.array(two, three), lambda x: x.isNotNull()))
+    there = hits.select("host", F.inline(ways), "at", "c")
+    near = F.when(F.lower("name").isin(*PACKAGE_MANAGERS), 4).when(F.lower("name").isin(*AUTOMATION), 5)
+    there = there.unionByName(cm.select("host", near.alias("tier"), none.alias("text"), none.alias("cwd"), "at", "c").filter("tier IS NOT NULL"))
+    ask = lambda n, text, cwd, when: F.when(when, F.struct(F.lit(n).alias("tier"), text.alias("text"), cwd.alias("cwd")))
+    some, base = F.length("target") > 0, F.length("base") > 0
+    asks = F.array(ask(1, F.col("target"), none, some), ask(2, F.col("base"), F.col("dir"), base), ask(3, F.col("base"), none, base & (F.octet_length("base") >= 4)), ask(4, none, none, F.lit(True)), ask(5, none, none, F.lit(True)))
+    asked = ch.select("host", F.inline(F.filter(asks, lambda x: x.isNotNull())), (F.col("us") + AHEAD_SECONDS * 1_000_000).alias("at"), F.col("id").alias("ask"), F.col("us").alias("asked_us"))
+    every = there.withColumns({"ask": F.lit(None).cast("long"), "asked_us": F.lit(None).cast("long")}).unionByName(asked.withColumn("c", F.lit(None).cast(there.schema["c"].dataType)))
+    sweep = Window.partitionBy("host", "tier", "text", "cwd").orderBy(F.col("at"), F.col("c").isNull(), F.col("c.c_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = every.withColumn("best", F.last("c", ignorenulls=True).over(sweep)).filter("ask IS NOT NULL AND best IS NOT NULL")
+    span = F.when(F.col("tier") <= 3, lookback).otherwise(min(lookback, NEAR_SECONDS)) * 1_000_000
+    found = found.filter(F.col("best.c_us") >= F.col("asked_us") - span)
+    out = found.groupBy(F.col("ask").alias("id")).agg(F.min_by(F.struct("tier", "best.*"), F.struct(F.col("tier"), -F.col("best.c_us"), -F.col("best.c_id"))).alias("b")).select("id", "b.*")
     confidence = F.when(F.col("tier") <= 2, "high").otherwise("medium")
-    out = out.withColumns({"confidence": confidence, "session": F.col("c_session_id"), "by_user": F.col("c_user"), "reason": reason(F.col("tier"), F.col("c_name"))})
-    return out
+    return out.withColumns({"confidence": confidence, "session": F.col("c_session_id"), "by_user": F.col("c_user"), "reason": reason(F.col("tier"), F.col("c_name"))})
 
 
 def reason(tier_: Column, name: Column) -> Column:

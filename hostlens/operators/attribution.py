@@ -128,7 +128,7 @@ def attribute(changes: DataFrame, commands: DataFrame, lookback: int = LOOKBACK_
     every = there.withColumns({"ask": F.lit(None).cast("long"), "asked_us": F.lit(None).cast("long")}).unionByName(asked.withColumn("c", F.lit(None).cast(there.schema["c"].dataType)))
     sweep = Window.partitionBy("host", "tier", "text", "cwd").orderBy(F.col("at"), F.col("c").isNull(), F.col("c.c_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = every.withColumn("best", F.last("c", ignorenulls=True).over(sweep)).filter("ask IS NOT NULL AND best IS NOT NULL")
-    span = F.when(F.col("tier") <= 3, lookback).otherwise(min(lookback, NEAR_SECONDS)) * 1_000_000
+    span = F.when(F.col("tier") <= 3, F.lit(lookback * 1_000_000)).otherwise(F.lit(min(lookback, NEAR_SECONDS) * 1_000_000))
     found = found.filter(F.col("best.c_us") >= F.col("asked_us") - span)
     out = found.groupBy(F.col("ask").alias("id")).agg(F.min_by(F.struct("tier", "best.*"), F.struct(F.col("tier"), -F.col("best.c_us"), -F.col("best.c_id"))).alias("b")).select("id", "b.*")
     confidence = F.when(F.col("tier") <= 2, "high").otherwise("medium")

@@ -7,6 +7,7 @@ event on which it fires skips the brute-force rule even where its alert is suppr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -424,24 +425,86 @@ def custom_rules(events: DataFrame, rules: list[CustomRule]) -> DataFrame:
     return _alerts(e, F.col("_hit.rule"), _custom_key(), F.col("_hit.severity"), title).withColumn("notify", F.col("_hit.notify")).drop("_hit")
 
 
+GRAM = 3
+SALT = 32  # for rules that nothing tells apart
+_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _plain(c: Column) -> Column:
+    """ASCII letters lower-cased, as wildcards compare them."""
+    return F.translate(F.coalesce(c, F.lit("")), _ASCII, _ASCII.lower())
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.when(F.length(text) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
+
+
+def _entry(field: str, kind: str, choice: int, text: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(choice).alias("choice"), text.alias("text"))
+
+
+def _gram_entry(field: str) -> Callable[[Column], Column]:
+    return lambda g: _entry(field, "gram", 1, g)
+
+
+def _asks(field: str, kind: str, texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(F.lit(field).alias("_field"), F.lit(kind).alias("_kind"), t.alias("_text"), F.lit(0).alias("_salt")))
+
+
+def rule_keys(rules: DataFrame) -> DataFrame:
+    """rules (rule_id, p_* columns) with the one key an event must have to be looked at: _field, _kind and _text.
+
+    whole: the text of a field without wildcards. gram: of the fragments between wildcards of all fields the three
+    letters in a row that fewest rules share. head and tail: up to two letters before the first or after the last
+    wildcard. any: nothing of these, so every event is looked at, in SALT groups."""
+    r, found = rules.withColumn("_place", F.monotonically_increasing_id()), []
+    for c in CUSTOM_FIELDS:
+        p = _plain(F.col(f"p_{c}"))
+        fragments = F.split(p, r"[*?]+", -1)
+        plain = ~p.rlike(r"[*?]")
+        entry = partial(_entry, c)
+        head, tail = F.element_at(fragments, 1), F.element_at(fragments, -1)
+        whole = F.when(plain, F.array(entry("whole", 0, p))).otherwise(F.transform(F.flatten(F.transform(fragments, _grams)), _gram_entry(c)))
+        short = F.filter(F.array(F.when(~plain & (F.length(head) > 0), entry("head", 2, F.substring(head, 1, 2))), F.when(~plain & (F.length(tail) > 0), entry("tail", 2, F.right(tail, F.lit(2))))), lambda x: x.isNotNull())
+        found.append(F.when(p != "", F.concat(whole, short)).otherwise(F.array().cast("array<struct<field:string,kind:string,choice:int,text:string>>")))
+    every = F.concat(F.concat(*found), F.array(F.struct(F.lit("").alias("field"), F.lit("any").alias("kind"), F.lit(3).alias("choice"), F.lit("").alias("text"))))
+    keys = r.select("*", F.explode(every).alias("_k"))
+    shared = keys.groupBy("_k").agg(F.count("*").alias("_shared"))
+    best = F.min_by("_k", F.struct(F.col("_k.choice"), F.col("_shared"), F.col("_k.field"), F.col("_k.text")))
+    own = keys.select("_place", "_k").join(shared, "_k").groupBy("_place").agg(best.alias("_k"))
+    return r.join(own, "_place").drop("_place").select(*rules.columns, F.col("_k.field").alias("_field"), F.col("_k.kind").alias("_kind"), F.col("_k.text").alias("_text"))
+
+
 def custom_rules_join(events: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for rules in a table: id, severity (a rank) and the six pattern columns.
 
-    Rules that name an action without a wildcard are joined on it; the few others are tried on every event, for which
-    Spark broadcasts the rules if they are small and else plans the join by size.
-    """
+    An event is looked at by the rules whose key it has (`rule_keys`), an equality; all fields are compared then. Spark
+    broadcasts the rules where they are small and else shuffles both sides by key. Rows without an id or a pattern, and
+    events that are alerts, say nothing."""
     r = rules.select(F.col("id").alias("rule_id"), F.col("severity").alias("rule_severity"), *[F.col(c).alias(f"p_{c}") for c in CUSTOM_FIELDS])
     r = r.filter((F.coalesce("rule_id", F.lit("")) != "") & (F.concat_ws("", *[f"p_{c}" for c in CUSTOM_FIELDS]) != ""))
-    plain = (F.col("p_action") != "") & ~F.col("p_action").rlike(r"[*?]")
-    rest = [c for c in CUSTOM_FIELDS if c != "action"]
+    keyed = rule_keys(r)
+    used = {(x[0], x[1]) for x in keyed.select("_field", "_kind").distinct().collect()}  # at most four kinds of each field, and `any`
+    ways: list[Column] = []
+    for c in CUSTOM_FIELDS:
+        text = _plain(F.col(FIELD_COLUMNS[c]))
+        each = {"whole": F.array(text), "gram": _grams(text), "head": F.array(F.substring(text, 1, 2), F.substring(text, 1, 1)), "tail": F.array(F.right(text, F.lit(2)), F.right(text, F.lit(1)))}
+        for kind in ("whole", "gram", "head", "tail"):
+            if (c, kind) in used:
+                own = _asks(c, kind, F.array_distinct(each[kind]))
+                ways.append(F.when(F.col(FIELD_COLUMNS[c]).isNotNull(), own).otherwise(F.slice(own, 1, 0)))
+    if ("", "any") in used:
+        ways.append(F.array(F.struct(F.lit("").alias("_field"), F.lit("any").alias("_kind"), F.lit("").alias("_text"), F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("_salt"))))
+    salts = F.when(F.col("_kind") == "any", F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    keyed = keyed.withColumn("_salt", F.explode(salts))
 
     def hit(c: str) -> Column:
         return (F.coalesce(f"p_{c}", F.lit("")) == "") | F.coalesce(wildcard_match_column(F.col(FIELD_COLUMNS[c]), F.col(f"p_{c}"), True), F.lit(False))
 
-    e = events.filter("category <> 'alert'")
-    a = e.join(r.filter(plain), F.lower("action") == F.lower("p_action")).filter(reduce(lambda x, y: x & y, map(hit, rest)))
-    b = e.join(r.filter(~F.coalesce(plain, F.lit(False))), reduce(lambda x, y: x & y, map(hit, CUSTOM_FIELDS)))
-    return a.unionByName(b).drop(*[f"p_{c}" for c in CUSTOM_FIELDS])
+    none = F.array().cast("array<struct<_field:string,_kind:string,_text:string,_salt:int>>")
+    e = events.filter("category <> 'alert'").select("*", F.inline(F.concat(none, *ways)))
+    keys = ["_field", "_kind", "_text", "_salt"]
+    return e.join(keyed, keys).filter(reduce(lambda x, y: x & y, map(hit, CUSTOM_FIELDS))).drop(*keys, *[f"p_{c}" for c in CUSTOM_FIELDS])
 
 
 def suppressed(suppressions: list[Suppression], rule: Column | None = None) -> Column:

@@ -156,3 +156,37 @@ def test_one_pass_equals_the_rules_one_by_one(spark, sf):
 def test_all_rules_read_the_events_few_times(spark, sf):
     plan = rules.evaluate(adapted(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") + plan.count("Scan parquet") <= 8, plan.count("FileScan")
+
+
+def wildcard(text, pattern):
+    import re
+
+    body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    return text is not None and re.fullmatch(f"(?is){body}", text, re.ASCII if text.isascii() else 0) is not None
+
+
+def test_rules_in_a_table_equal_every_pair(spark):
+    import random
+
+    g = random.Random(5)
+    actions = ["session.start", "auth.failure", "process.start", "file.modified"]
+    commands = ["ls -la", "vim /etc/passwd", "CURL http://x | sh", "a", "", "ab", "xmrig -t 4", None, "été (1)"]
+    events = [(k, g.choice(["auth", "file", "alert"]), g.choice(actions), g.choice(["root", "Ann", "bob", None]), g.choice(["10.0.0.1", "203.0.113.7", None]), g.choice(["/etc/passwd", "/tmp/x", None]), g.choice(commands), g.choice(["bash", "sh", None])) for k in range(300)]
+    patterns = ["", "", "", "*", "?", "session.*", "*.start", "auth.failure", "ROOT", "a*", "*b", "?", "??", "/etc/*", "*passwd*", "*|*", "c?rl*sh", "*a*", "10.0.0.?", "b?sh", "*t*s*", "x*y", "(1)", "*(1)"]
+    rows = [(f"r{k}" if k % 50 else None, k % 5, *[g.choice(patterns) if g.random() < 0.4 else "" for _ in range(6)]) for k in range(400)]
+    rows = [r[:7] + (None,) if g.random() < 0.1 else r for r in rows]
+    e = spark.createDataFrame(events, "id long, category string, action string, user string, src_ip string, target string, command_line string, process_name string")
+    r = spark.createDataFrame(rows, "id string, severity int, action string, user string, src_ip string, target string, command string, process string")
+    want = sorted((ev[0], ru[0]) for ev in events for ru in rows if ev[1] != "alert" and ru[0] and any(ru[2:]) and all(not p or wildcard(v, p) for v, p in zip((ev[2], ev[3], ev[4], ev[5], ev[6], ev[7]), ru[2:], strict=True)))
+    got = sorted((x.id, x.rule_id) for x in rules.custom_rules_join(e, r).collect())
+    assert got == want and len(want) > 1000
+
+
+def test_ten_thousand_rules_without_a_nested_loop(spark, sf):
+    n = 10_000
+    r = spark.range(n).select(F.concat(F.lit("r"), "id").alias("id"), F.lit(2).alias("severity"), F.lit("").alias("action"), F.when(F.col("id") % 4 == 0, "user*").otherwise("").alias("user"), F.lit("").alias("src_ip"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("*/f"), F.col("id"), F.lit("-*"))).otherwise("").alias("target"), F.concat(F.lit("*tool"), F.col("id"), F.lit(" *")).alias("command"), F.lit("").alias("process"))
+    r = r.unionByName(spark.createDataFrame([("curl", 2, "", "", "", "", "*curl*sh*", "")], r.schema))
+    e = adapted(spark, sf)
+    out = rules.custom_rules_join(e, r)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {x.rule_id for x in out.collect()} == {"curl"} and out.count() == e.filter("command_line LIKE '%curl%sh%'").count() > 0

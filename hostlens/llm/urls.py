@@ -54,18 +54,22 @@ class Rules:
         self.by_host: dict[str, list[tuple[str, str, str]]] = {}
         for host, path, verdict in rules:
             self.by_host.setdefault(host, []).append((host + path, path, verdict))
+        self.labels = max((host.count(".") + 1 for host in self.by_host), default=0)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The longest rule that fits, as host and path in one, and its verdict."""
+        """The longest rule that fits, as host and path in one, and its verdict.
+
+        No more of a host's last labels are looked at than the longest rule has."""
         best: tuple[str, str] | None = None
-        while True:
-            for rule, start, verdict in self.by_host.get(host, ()):
-                if path.startswith(start) and (best is None or len(rule) > len(best[0])):
+        dot = len(host)
+        for _ in range(self.labels):
+            dot = host.rfind(".", 0, dot)
+            for rule, start, verdict in self.by_host.get(host[dot + 1 :], ()):
+                if path.startswith(start) and (best is None or len(rule) >= len(best[0])):
                     best = (rule, verdict)
-            dot = host.find(".")
             if dot < 0:
-                return best
-            host = host[dot + 1 :]
+                break
+        return best
 
 
 class Vocabulary:

@@ -45,3 +45,18 @@ def test_vocabulary_from_a_table(spark):
     assert urls.vocabulary(df) == (("spam", "xxx"), ("casino",))
     with pytest.raises(ValueError):
         urls.vocabulary(df, most=2)
+
+
+def test_a_host_of_many_labels_is_read_in_time():
+    import time
+
+    from hostlens.llm.urls import Rules
+
+    rules, start = Rules(), time.process_time()
+    for _ in range(20):
+        assert rules.find("a." * 500_000 + "example.com", "/en/x") == ("example.com/en/", "block")
+        assert rules.find("." * 500_000, "/") is None and rules.find("", "") is None
+    assert time.process_time() - start < 1
+    wide = Rules((("com", "/abcdefghijk", "a"), ("b.com", "/abcdefghi", "b"), ("a.b.com", "/", "c"), ("com", "/", "d")))
+    assert wide.find("x.a.b.com", "/abcdefghijk") == ("b.com/abcdefghi", "b")  # equally long: that of the longer host
+    assert wide.find("x.com", "/y") == ("com/", "d") and wide.find("com.x", "/") is None

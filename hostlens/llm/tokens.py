@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import free_name, shared_base, table, written
+from .common import discard, free_name, shared_base, table, written
 
 LIMIT = 2048
 MEMO = 400_000
@@ -144,8 +144,9 @@ def encoded(texts: DataFrame, path: str) -> DataFrame:
 class TokenCache:
     """Counts by tokenizer version and digest: `folder/version=…/batch=…`, a batch for each run that added rows.
 
-    A batch holds a digest once. Only a cache of several batches, which runs at the same time may have filled with the
-    same digests, has to be reduced to one row a digest when it is read; compact() makes one batch of them.
+    A batch holds a digest once, and only runs that encoded something leave one. Several batches, which runs at the same
+    time may have filled with the same digests, are reduced to one row for each digest that is asked for. compact() makes
+    one batch of them, sorted by digest, when nothing else uses the cache.
     """
 
     def __init__(self, spark: SparkSession, folder: str, path: str):
@@ -161,25 +162,29 @@ class TokenCache:
         done = lambda n: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))
         return [f"{self.folder}/{n}" for n in names if n.startswith("batch=") and done(n)]
 
-    def known(self) -> DataFrame | None:
-        """digest and n_tokens of this version; None where the cache has none yet."""
+    def known(self, asked: DataFrame | None = None) -> DataFrame | None:
+        """digest and n_tokens of this version, of the digests in `asked` only; None where the cache has none yet."""
         batches = self._batches()
         if not batches:
             return None
         rows = self.spark.read.schema(CACHE).parquet(*batches)
+        rows = rows if asked is None else rows.join(asked.select("digest"), "digest", "left_semi")
         return rows if len(batches) == 1 else rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def add(self, rows: DataFrame) -> None:
-        rows.select("digest", "n_tokens").write.parquet(f"{self.folder}/batch={uuid.uuid4().hex}")
+        """Add a batch, unless there are no rows."""
+        path = f"{self.folder}/batch={uuid.uuid4().hex}"
+        rows.select("digest", "n_tokens").write.parquet(path)
+        if not self.spark.read.schema(CACHE).parquet(path).head(1):
+            discard(self.spark, path)
 
     def compact(self) -> None:
         """Make one batch of all; not while others add to or read the cache."""
         old, rows = self._batches(), self.known()
         if len(old) > 1:
-            self.add(rows)
+            self.add(rows.repartitionByRange("digest").sortWithinPartitions("digest"))
             for path in old:
-                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                discard(self.spark, path)
 
     def counts(self, docs: DataFrame) -> DataFrame:
         """docs with n_bytes, digest and n_tokens; the texts that the cache lacks are encoded and added to it."""
@@ -191,7 +196,9 @@ class TokenCache:
         if known is not None:
             misses = misses.join(known, "digest", "left_anti")
         self.add(encoded(misses, self.path))
-        known = self.known()
+        known = self.known() if len(self._batches()) <= 1 else self.known(docs.select(digest(text).alias("digest")))
+        if known is None:
+            known = self.spark.createDataFrame([], CACHE)
         if len(self._batches()) > 1:  # written, so that Spark can split the rows of a frequent text in the join
             known = written(known, "token-counts")
         key = free_name(keyed, "known_digest")

@@ -70,3 +70,19 @@ def test_repeats_beyond_the_reducers_memory(spark):
     assert tokens.encoded(df, tokens.tokenizer_path()).count() == 50
     batches = df.select("digest", "text").limit(200).toArrow().to_batches(max_chunksize=10)
     assert sum(b.num_rows for b in tokens._fewer(iter(batches), most=5)) >= 50
+
+
+def test_runs_without_misses_leave_the_cache_as_it_was(spark, edge, nothing):
+    cache = tokens.TokenCache(spark, shared_dir(spark, "t"), tokens.tokenizer_path())
+    assert cache.counts(nothing).count() == 0 and cache._batches() == []
+    some = edge.filter("doc_id < 5")
+    for _ in range(3):
+        cache.counts(some).count()
+    assert len(cache._batches()) == 1
+    whole = cache.counts(edge)
+    assert len(cache._batches()) == 2
+    for _ in range(2):
+        assert cache.counts(nothing).count() == 0 and cache.counts(some).count() == some.count()
+    assert len(cache._batches()) == 2 and whole.filter("n_tokens_ IS NULL").count() == 0
+    asked = some.select(tokens.digest(F.coalesce("text", F.lit(""))).alias("digest"))
+    assert cache.known(asked).count() == 3 < cache.known().count()

@@ -56,7 +56,7 @@ NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![0-9])[0-9]{8,11}(?![0-9])"
 #: Key ids of a fixed form, and values of ten or more characters with a digit that are assigned to a word for a secret.
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-CREDENTIAL = r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?["']?(?=[a-z_+/-]*[0-9])[a-z0-9_+/-]{10,256}={0,2}"""
+CREDENTIAL = r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?["']?(?=[a-z_+/-]*[0-9])[a-z0-9_+/-]{10,}+={0,2}"""
 
 
 def digits(m: Column) -> Column:

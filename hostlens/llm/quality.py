@@ -231,7 +231,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> Attention:
     """Fit on labelled rows that are not held out: see the module for the bounds `sample` and `most`."""
     ship(docs.sparkSession)
-    own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
+    kind = docs.schema["doc_id"].dataType  # ids may be of any type with an order; those of labels are read as such
+    own = labels.withColumn("doc_id", F.col("doc_id").try_cast(kind)).filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.avg("quality").alias("label"))
     own = own.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)  # the bound of this module
 
@@ -246,13 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
                     rows[0].append(ids[start + k])
                     rows[1].append(label[start + k])
                     rows[2].append(own_rows.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.binary())], ["doc_id", "label", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], b.schema.field("doc_id").type), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.binary())], ["doc_id", "label", "bag"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")  # at most `sample` narrow rows
+    picked = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # at most `sample` narrow rows
     sizes = picked.groupBy("doc_id", "label").agg(F.max(F.greatest(F.ceil(word_count(F.col("text")) / PASSAGE), F.lit(1))).alias("n")).filter(F.col("n") <= most)
     sizes = sizes.withColumn("sum", F.sum("n").over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")))  # `sample` rows
     picked = picked.join(F.broadcast(sizes.filter(F.col("sum") <= most).select("doc_id")), "doc_id")
-    got = picked.select("doc_id", "label", "text").mapInArrow(encode, "doc_id long, label double, bag binary")
+    got = picked.select("doc_id", "label", "text").mapInArrow(encode, T.StructType([T.StructField("doc_id", kind), T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())]))
     # Several rows of one doc_id count once, so the bound holds for what is collected as well.
     got = got.groupBy("doc_id", "label").agg(F.min("bag").alias("bag")).orderBy("doc_id").toArrow()
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got.column("bag").to_pylist()]

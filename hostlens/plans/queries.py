@@ -6,6 +6,7 @@ have hours between their events, so windows are of days here where a live system
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.redact import RULES, redact
 from ..operators import attribution, incidents, integrity, rules, search, sessions, windows
+from ..operators.textindex import TextIndex
 from ..schema import ADAPTED_SQL, adapted, severity_name, severity_rank
+from ..session import shared_base
 from ..sinks import formats
 from ..sources import hosts, packages
 
@@ -84,6 +87,17 @@ def search_free_text(spark, d):
     return _out(search.search(adapted(spark, d), search.parse('"PassWd" #1', limit=1000)))
 
 
+@query(f"SELECT {_P} FROM ev WHERE (contains(lower(message), '#17 ') OR contains(lower(command_line), '#17 ') OR contains(lower(target), '#17 ')) AND lower(target) LIKE '%/sudoers.d/%' ORDER BY us DESC, id DESC LIMIT 1000")
+def search_text_index(spark, d):
+    """The events as a table of 32 files, and a search that reads those whose trigrams allow a hit."""
+    folder = f"{shared_base(spark)}/hostlens/text-index-{uuid.uuid4().hex}"
+    adapted(spark, d).repartitionByRange(32, "id").write.parquet(f"{folder}/events")
+    events = spark.read.parquet(f"{folder}/events")
+    index = TextIndex(spark, f"{folder}/index")
+    index.update(events)
+    return _out(index.search(events, search.parse('"#17 " target=*/sudoers.d/*', limit=1000)))
+
+
 @query(f"SELECT {_P} FROM ev WHERE severity >= 3 AND lower(category) = 'process' ORDER BY us DESC, id DESC LIMIT 400")
 def search_severity_floor(spark, d):
     return _out(search.search(adapted(spark, d), search.parse("sev>=high cat=process", limit=400)))
@@ -881,6 +895,23 @@ def build_hash_chain(spark, d):
     return integrity.build_chain(c, ["conv_id"], ["turn", "role", "text"], _CHAIN_COLUMNS).select("conv_id", "turn", "prev_hash", "hash")
 
 
+@query(
+    """WITH RECURSIVE o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn, role, text) AS seq FROM conversations),
+c AS (SELECT conv_id, turn, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || chr(31) || turn || chr(31) || role || chr(31) || coalesce(text, '')) AS hash FROM o WHERE seq = 1
+  UNION ALL SELECT o.conv_id, o.turn, o.seq, c.hash, sha256(c.hash || chr(31) || o.turn || chr(31) || o.role || chr(31) || coalesce(o.text, '')) FROM c JOIN o ON o.conv_id = c.conv_id AND o.seq = c.seq + 1)
+SELECT conv_id, turn, seq, prev_hash, hash FROM c""",
+    audit=False,
+)
+def chain_over_batches(spark, d):
+    """The chain of each conversation over three batches, each going on from the heads of the one before."""
+    c, heads, out = _t(spark, d, "conversations"), None, []
+    for batch in range(3):
+        part = integrity.continue_chain(c.filter(F.col("turn") % 3 == batch), heads, ["conv_id"], ["turn", "role", "text"], _CHAIN_COLUMNS)
+        heads = integrity.next_heads(part, heads, ["conv_id"])
+        out.append(part.select("conv_id", "turn", "seq", "prev_hash", "hash"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def _chained(spark, d) -> DataFrame:
     c = _t(spark, d, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     return integrity.build_chain(c, ["conv_id"], ["n"], _CHAIN_COLUMNS)

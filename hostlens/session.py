@@ -38,3 +38,14 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, only a local master gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="hostlens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -120,6 +120,21 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
+def _ascii_lower(c: Column) -> Column:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(c, letters, letters.lower())
+
+
+def eq_path(a: Column, b: Column, windows: bool = False) -> Column:
+    """Whether two paths are one; on Windows the case of ASCII letters does not count."""
+    return _ascii_lower(a) == _ascii_lower(b) if windows else a == b
+
+
+def contains_path(text: Column, path: Column, windows: bool = False) -> Column:
+    """Whether a path stands anywhere in a text, as eq_path compares."""
+    return F.contains(_ascii_lower(text), _ascii_lower(path)) if windows else F.contains(text, path)
+
+
 def duration_text(seconds: Column) -> Column:
     """`42s`, `3m 5s`, `2h 10m`."""
     s = seconds.cast("long")

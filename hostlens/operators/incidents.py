@@ -208,12 +208,15 @@ def timeline(samples: DataFrame, keys: list[str], level: str = "level", value: s
     return level_timeline(samples, keys, level, value, us, tie).unionByName(first).unionByName(marks)
 
 
-def report(incidents: DataFrame, server: str = "") -> DataFrame:
+def report(incidents: DataFrame, server: str = "", numbers: DataFrame | None = None) -> DataFrame:
     """Incidents (host, kind, start_us, end_us, recovered_us, probable_cause, …) as report rows.
 
-    end_us includes the time after recovery; duration_seconds and degraded_seconds tell both lengths.
+    end_us includes the time after recovery; duration_seconds and degraded_seconds tell both lengths. numbers (host,
+    kind, start_us, number) are those that sinks.incidents keeps; without them the given incidents are numbered by time.
     """
     number = F.row_number().over(Window.partitionBy(F.year(F.timestamp_micros("start_us"))).orderBy("start_us", "host"))
+    if numbers is not None:
+        incidents, number = incidents.join(numbers.select("host", "kind", "start_us", F.col("number").alias("_number")), ["host", "kind", "start_us"]), F.col("_number")
     year = F.year(F.timestamp_micros("start_us"))
     seconds = F.floor((F.col("end_us") - F.col("start_us")) / 1_000_000)
     return incidents.withColumns(
@@ -225,7 +228,7 @@ def report(incidents: DataFrame, server: str = "") -> DataFrame:
             "impact": F.concat(F.lit("A "), "kind", F.lit(" incident of about "), duration_text(seconds)),
             "recommendation": F.concat(F.lit("Review "), "probable_cause", F.lit(" around "), F.date_format(F.timestamp_micros("start_us"), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")),
         }
-    )
+    ).drop("_number")
 
 
 def incident_events(reports: DataFrame) -> DataFrame:

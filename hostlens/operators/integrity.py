@@ -178,12 +178,12 @@ def compare_baseline(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return both.withColumns({"change": change, "severity": F.when(F.coalesce(opened, F.lit(False)), 2).otherwise(0)}).drop("_b", "_c")
 
 
-def file_events(changes: DataFrame) -> DataFrame:
-    """compare_baseline() rows as events."""
+def file_events(changes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """compare_baseline() rows as events, with further columns of theirs."""
     c = changes.filter("change <> 'unchanged'")
     verb = F.when(F.col("change") == "created", "Created").when(F.col("change") == "deleted", "Deleted").when(F.col("change") == "modified", "Modified").otherwise("Permissions or owner changed on")
     details = F.to_json(F.struct("size_before", "size_after", "sha256_before", "sha256_after", F.conv("mode_before", 10, 8).alias("mode_before"), F.conv("mode_after", 10, 8).alias("mode_after")))
-    return c.select(F.lit("file").alias("category"), F.concat(F.lit("file."), "change").alias("action"), F.lit("success").alias("outcome"), "severity", F.col("path").alias("target"), F.concat_ws(" ", verb, "path").alias("message"), details.alias("details"))
+    return c.select(*(keep or []), F.lit("file").alias("category"), F.concat(F.lit("file."), "change").alias("action"), F.lit("success").alias("outcome"), "severity", F.col("path").alias("target"), F.concat_ws(" ", verb, "path").alias("message"), details.alias("details"))
 
 
 def content_policy(files: DataFrame, hash_only: list[str] | None = None, most_kept: int = MOST_KEPT_BYTES, most_hashed: int = MOST_HASHED_BYTES) -> DataFrame:

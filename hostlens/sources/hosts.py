@@ -162,6 +162,16 @@ def top_processes(usage: DataFrame, keys_: list[str], k: int = 8) -> DataFrame:
     return top_k(usage, keys_, [busy, F.col("pid").asc()], k)
 
 
+# File systems that are no storage.
+PSEUDO_FILE_SYSTEMS = ("tmpfs", "devtmpfs", "proc", "sysfs", "cgroup", "cgroup2", "devpts", "mqueue", "debugfs", "tracefs", "pstore", "squashfs")
+
+
+def real_volumes(samples: DataFrame) -> DataFrame:
+    """Samples whose volumes (with file_system) are storage: neither a pseudo file system nor a fuse mount."""
+    name = lambda v: F.coalesce(v["file_system"], F.lit(""))
+    return samples.withColumn("volumes", F.filter("volumes", lambda v: ~name(v).isin(*PSEUDO_FILE_SYSTEMS) & ~F.startswith(name(v), F.lit("fuse."))))
+
+
 def volume_totals(samples: DataFrame) -> DataFrame:
     """Samples with an array of volumes -> the fullest volume and all bytes read and written a second."""
     add = lambda f: F.aggregate("volumes", F.lit(0.0), lambda a, v: a + F.coalesce(v[f], F.lit(0.0)))

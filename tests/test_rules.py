@@ -143,7 +143,7 @@ def test_one_pass_equals_the_rules_one_by_one(spark, sf):
         part = e.filter("id % 5 = 0").withColumn("category", F.lit(category)).withColumn("group", F.when(F.col("id") % 2 == 0, "sudo"))
         for n, action in enumerate(actions):
             e = e.unionByName(part.filter(F.col("id") % len(actions) == n).withColumn("action", F.lit(action)))
-    s = rules.Settings(business_hours="Mon-Fri 08:00-18:00", trusted=("203.0.113.1*",))
+    s = rules.Settings(business_hours="08:00-18:00", trusted=("203.0.113.1*",))
     custom = [rules.CustomRule("etc", target="/etc/*"), rules.CustomRule("quiet", user="user1*", notify=False)]
     one = [rules.off_hours(e, s), rules.privileged_login(e), rules.suspicious_command(e), rules.webserver_shell(e), rules.sensitive_file(e), rules.account_change(e), rules.privilege_failure(e), rules.service_installed(e), rules.scheduled_task(e), rules.log_tampering(e), rules.custom_rules(e, custom)]
     show = lambda df: sorted((r.rule, r.id, r.action, str(r.cooldown_key), r.severity, str(r.title), r.trigger_action) for r in df.collect())
@@ -155,7 +155,7 @@ def test_one_pass_equals_the_rules_one_by_one(spark, sf):
 
 def test_all_rules_read_the_events_few_times(spark, sf):
     plan = rules.evaluate(adapted(spark, sf))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") + plan.count("Scan parquet") <= 8, plan.count("FileScan")
+    assert plan.count("FileScan") <= 6
 
 
 def wildcard(text, pattern):

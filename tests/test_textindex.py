@@ -50,8 +50,8 @@ def test_new_files_are_read_until_they_are_indexed(spark, events):
     folder, e = events
     index = TextIndex(spark, f"{folder}/index2", bits=1 << 14)
     index.update(e)
-    e.filter("id = 7").withColumn("message", F.lit("a brand-new zebra")).write.mode("append").parquet(f"{folder}/more")
-    e.filter("id = 8").write.mode("append").parquet(f"{folder}/more")
+    e.filter("id = 7").withColumn("message", F.lit("a brand-new zebra")).coalesce(1).write.mode("append").parquet(f"{folder}/more")
+    e.filter("id = 8").coalesce(1).write.mode("append").parquet(f"{folder}/more")
     both = spark.read.parquet(f"{folder}/events", f"{folder}/more")
     assert len(ids(index.search(both, "zebra"))) == 1
     assert index.update(both) == 2

@@ -166,27 +166,37 @@ def inherit(events: DataFrame, sessions: DataFrame) -> DataFrame:
 def single_live_session(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Events without a session of users with exactly one open at that time, with that session's id in only_session.
 
-    sessions: id, user, start_us, end_us (null while open).
+    sessions: id, user, start_us, end_us (null while open). A user's starts, events and ends are swept in time order;
+    running sums give the number of open sessions and, where it is one, the hash of that session. So no event is paired
+    with the sessions of its user. At one time ends count before starts, and starts before events.
     """
-    e = events.filter("session_id IS NULL AND user IS NOT NULL").withColumn("_key", norm_user(F.col("user")))
-    s = sessions.select(norm_user(F.col("user")).alias("_key"), F.col("id").alias("_sid"), "start_us", "end_us")
-    open_ = (F.col("start_us") <= F.col("us")) & (F.col("end_us").isNull() | (F.col("end_us") > F.col("us")))
-    hits = e.select("id", "us", "_key").join(s, "_key").filter(open_)
-    one = hits.groupBy("id").agg(F.count("*").alias("n"), F.min("_sid").alias("only_session")).filter("n = 1").drop("n")
-    return events.join(one, "id")
+    e = events.filter("session_id IS NULL AND user IS NOT NULL").select(norm_user(F.col("user")).alias("_key"), F.col("us").alias("at"), "id")
+    s = sessions.select(norm_user(F.col("user")).alias("_key"), F.col("id").alias("_sid"), "start_us", "end_us", F.xxhash64("id").cast("decimal(38,0)").alias("_hash"))
+    none = F.lit(None).cast(dict(e.dtypes)["id"]).alias("id")
+    turn = lambda at, kind, n: s.select("_key", at.alias("at"), none, F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n"), (F.col("_hash") * n).cast("decimal(38,0)").alias("hash")).filter("at IS NOT NULL")
+    asks = e.select("_key", "at", "id", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("hash"))
+    w = Window.partitionBy("_key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = asks.unionByName(turn(F.col("start_us"), 1, 1)).unionByName(turn(F.col("end_us"), 0, -1))
+    swept = every.withColumns({"open": F.sum("n").over(w), "sum": F.sum("hash").over(w).cast("decimal(38,0)")}).filter("kind = 2 AND open = 1")
+    one = swept.select("id", "_key", F.col("sum").alias("_hash")).join(s.select("_key", "_hash", "_sid"), ["_key", "_hash"])
+    return events.join(one.select("id", F.col("_sid").alias("only_session")), "id")
 
 
 def resolve_by_keys(events: DataFrame, claims: DataFrame) -> DataFrame:
     """Each event (id, us, keys) with the session of the first of its keys that a live session owns.
 
-    claims: key, session_id, from_us, to_us (null while held). A later claim ends an earlier one of the same key. This
-    is the form without learned keys, a join on keys; `track` is the exact one.
+    claims: key, session_id, from_us, to_us (null while held). A later claim ends an earlier one of the same key, so of a
+    key only the last claim before an event can hold: claims and events of a key are swept in time order. This is the
+    form without learned keys; `track` is the exact one.
     """
-    w = Window.partitionBy("key").orderBy("from_us", "session_id")
-    c = claims.withColumn("_until", F.least(F.coalesce("to_us", F.lit(2**62)), F.coalesce(F.lead("from_us").over(w), F.lit(2**62))))
-    k = events.select("id", "us", F.posexplode("keys").alias("pos", "key"))
-    hits = k.join(c, "key").filter((F.col("from_us") <= F.col("us")) & (F.col("us") < F.col("_until")))
-    return hits.groupBy("id").agg(F.min_by("session_id", "pos").alias("resolved_session"))
+    kind = claims.schema["session_id"].dataType
+    c = claims.select("key", F.col("from_us").alias("at"), F.struct(F.col("session_id").cast(kind).alias("session"), F.col("to_us").cast("long").alias("to")).alias("claim"))
+    k = events.select(F.col("id").alias("_id"), F.col("us").alias("at"), F.posexplode("keys").alias("pos", "key")).select("key", "at", "_id", "pos")
+    every = c.unionByName(k, allowMissingColumns=True)
+    w = Window.partitionBy("key").orderBy(F.col("at"), F.col("claim").isNull(), F.col("claim.session")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = every.withColumn("held", F.last("claim", ignorenulls=True).over(w)).filter("claim IS NULL AND held IS NOT NULL AND key IS NOT NULL AND at IS NOT NULL")
+    hits = hits.filter(F.col("held.to").isNull() | (F.col("at") < F.col("held.to")))
+    return hits.groupBy(F.col("_id").alias("id")).agg(F.min_by("held.session", "pos").alias("resolved_session"))
 
 
 def absent_sessions(sessions: DataFrame, live_keys: DataFrame, kind: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sliding counts, first occurrences, islands and state changes, as window functions over keyed, ordered events.
 
-Every window here has a partition key (an address, a user, a host), so no event stream is ordered in one task.
+Every window here has a partition key (an address, a user, a host), so no event stream is ordered in one task; sliding
+counts are cut by time as well, so a hot key is not one task either.
 """
 
 from __future__ import annotations
@@ -12,41 +13,63 @@ from ..functions.scalars import norm_user
 from ..schema import level_rank
 
 
-def _covered(events: DataFrame, key: str, until: Column, weight: Column, name: str, us: str) -> DataFrame:
-    """Events with the weight of all events of their key that cover their time; one covers its own time up to `until`.
+def _width(seconds: int) -> int:
+    """Microseconds of a time bucket: four spans, so that an event's span reaches into one further bucket at most."""
+    return max(1, 4 * seconds) * 1_000_000
+
+
+def _covered(events: DataFrame, key: str, until: Column, weight: Column, name: str, us: str, seconds: int) -> DataFrame:
+    """Events with the weight of all events of their key that cover their time; one covers its own time up to `until`,
+    `seconds` later at most.
 
     Each event adds its weight at its time and takes it back just after `until`, and a running sum is read at each. So a
     key with many events within a span costs in proportion to them; a frame of that span would be summed up anew for
     each row. Rows that only take back carry no other columns.
+
+    A key's time is cut into buckets, each summed up by itself: an event that reaches into the next bucket adds its
+    weight there from the bucket's start on. So a key with most of the events is many tasks' work.
     """
+    width = _width(seconds)
     row = F.struct(*[F.col(f"`{c}`") for c in events.columns if c != name])
-    at = F.struct(row.alias("row"), F.col(us).alias("at"), weight.cast("long").alias("by"))
-    back = F.struct(F.when(F.lit(False), row).alias("row"), (until + 1).alias("at"), (-weight).cast("long").alias("by"))
-    turns = F.when(weight != 0, F.array(at, back)).otherwise(F.array(at))
+    none, by = F.when(F.lit(False), row), weight.cast("long")
+    own = F.floor(F.col(us) / width)
+    last = F.greatest(own, F.floor(until / width))
+    turn = lambda row, bucket, at, by: F.struct(row.alias("row"), bucket.alias("bucket"), at.cast("long").alias("at"), by.alias("by"))
+    at, back = turn(row, own, F.col(us), by), turn(none, last, until + 1, -by)
+    carry = turn(none, last, last * width, by)
+    turns = F.when(weight == 0, F.array(at)).when(last > own, F.array(at, carry, back)).otherwise(F.array(at, back))
     out = events.select(F.col(key).alias("of"), F.explode(turns).alias("turn")).select("of", "turn.*")
-    running = Window.partitionBy("of").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("of", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return out.withColumn("total", F.sum("by").over(running)).filter("row IS NOT NULL").select("row.*", F.col("total").alias(name))
 
 
 def sliding_count(events: DataFrame, key: str, seconds: int, name: str = "recent", us: str = "us") -> DataFrame:
     """Events of the key in the `seconds` up to each, itself and both ends included."""
-    return _covered(events, key, F.col(us) + seconds * 1_000_000, F.lit(1), name, us)
+    return _covered(events, key, F.col(us) + F.lit(seconds * 1_000_000), F.lit(1), name, us, seconds)
 
 
 def sliding_distinct(events: DataFrame, key: str, value: str, seconds: int, name: str = "distinct_recent", us: str = "us") -> DataFrame:
     """Distinct values of the key in the `seconds` up to each event; a null counts as the empty value.
 
-    An event covers the time until its value comes again, so that each value counts once.
+    An event covers the time until its value comes again, so that each value counts once. When it comes again is found
+    by time buckets, too: an event also stands, as a guest, in the bucket before its own if it lies within the span of
+    that bucket's end.
     """
-    again = F.lead(us).over(Window.partitionBy(key, F.coalesce(F.col(value), F.lit(""))).orderBy(us))
-    until = F.least(F.col(us) + seconds * 1_000_000, F.col("_again") - 1)
-    return _covered(events.withColumn("_again", again), key, until, F.lit(1), name, us).drop("_again")
+    span, width = F.lit(seconds * 1_000_000), _width(seconds)
+    own = F.floor(F.col(us) / width)
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    places = F.when(F.col(us) - own * width <= span, F.array(F.struct(own.alias("bucket"), row.alias("row")), F.struct((own - 1).alias("bucket"), F.when(F.lit(False), row).alias("row")))).otherwise(F.array(F.struct(own.alias("bucket"), row.alias("row"))))
+    spread = events.select(F.col(key).alias("of"), F.coalesce(F.col(value), F.lit("")).alias("value"), F.col(us).alias("at"), F.explode(places).alias("place")).select("of", "value", "at", "place.*")
+    again = F.lead("at").over(Window.partitionBy("of", "value", "bucket").orderBy("at", F.col("row").isNull()))
+    e = spread.withColumn("_again", again).filter("row IS NOT NULL").select("row.*", "_again")
+    until = F.least(F.col(us) + span, F.col("_again") - 1)
+    return _covered(e, key, until, F.lit(1), name, us, seconds).drop("_again")
 
 
 def failures_before(events: DataFrame, key: str, seconds: int, is_failure: Column, name: str = "failures", us: str = "us") -> DataFrame:
     """Failures of the key in the `seconds` up to each event."""
     weight = F.when(is_failure, 1).otherwise(0)
-    return _covered(events, key, F.col(us) + seconds * 1_000_000, weight, name, us)
+    return _covered(events, key, F.col(us) + F.lit(seconds * 1_000_000), weight, name, us, seconds)
 
 
 def source_history(logins: DataFrame) -> DataFrame:

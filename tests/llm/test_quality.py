@@ -127,7 +127,7 @@ def test_ids_of_any_type(spark):
     rows = [(f"d{k}", (good if k % 2 else junk) * (2 + k % 5)) for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
     labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(80)] + [("other", 1)], "doc_id string, quality int")
-    got = quality.accepted(docs, labels).collect()
+    got = Q.accepted(docs, labels).collect()
     assert {int(r.doc_id[1:]) % 2 for r in got} == {1}
     mixed = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id int, text string")
-    assert quality.accepted(mixed, labels.unionByName(spark.createDataFrame([(str(k), k % 2) for k in range(80)], labels.schema))).count() == 40
+    assert Q.accepted(mixed, labels.unionByName(spark.createDataFrame([(str(k), k % 2) for k in range(80)], labels.schema))).count() == 40

@@ -7,6 +7,7 @@ logoffs before it. What can be stated without that order (counters, inheritance,
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, insort
 from functools import partial
 
 import numpy as np
@@ -30,24 +31,65 @@ class Tracker:
 
     Events carry keys; a session owns the keys of its login, and learns further ones from events that resolve to it.
     A later login takes over the keys it names. Of several sessions a login could merge into, the one with the nearest
-    start counts, then the smallest id.
+    start counts, then the smallest id. Both lookups by name have an index, so no event is compared with all of a host's
+    sessions.
     """
 
     def __init__(self, host: str = ""):
         self.host, self.live, self.owner = host, {}, {}
 
+    @property
+    def live(self) -> dict:
+        return self._live
+
+    @live.setter
+    def live(self, sessions: dict) -> None:
+        self._live, self.named, self.starts = sessions, {}, {}
+        for s in sessions.values():
+            self._enter(s)
+
+    def _lists(self, s: dict) -> list[list]:
+        """The sorted (start, id) of sessions of the same name and protocol: of any address, and of this one."""
+        key = (s["name"], s["protocol"])
+        return [self.starts.setdefault(k, []) for k in (key, (*key, s["ip"]))]
+
+    def _enter(self, s: dict) -> None:
+        self.named.setdefault(s["name"], {})[s["id"]] = s
+        for found in self._lists(s):
+            insort(found, (s["start"], s["id"]))
+
+    def _leave(self, s: dict) -> None:
+        self.named[s["name"]].pop(s["id"])
+        if not self.named[s["name"]]:
+            del self.named[s["name"]]
+        for found in self._lists(s):
+            del found[bisect_left(found, (s["start"], s["id"]))]
+        for k in ((s["name"], s["protocol"]), (s["name"], s["protocol"], s["ip"])):
+            if not self.starts[k]:
+                del self.starts[k]
+
+    def nearest(self, us: int, name: str, protocol: str, ip: str | None) -> dict | None:
+        """The session a login merges into; an unknown address fits any."""
+        best = None
+        for k in [(name, protocol)] if ip is None else [(name, protocol, ip), (name, protocol, None)]:
+            found = self.starts.get(k, ())
+            at = bisect_left(found, (us,))
+            before = found[bisect_left(found, (found[at - 1][0],))] if at else None  # of equal starts the smallest id
+            for start, sid in (x for x in (before, found[at] if at < len(found) else None) if x):
+                if abs(start - us) <= MERGE_SECONDS * 1_000_000:
+                    best = min(best or (abs(start - us), sid), (abs(start - us), sid))
+        return best and self.live[best[1]]
+
     def resolve(self, keys) -> dict | None:
         return next((self.live[s] for k in keys if (s := self.owner.get(k)) in self.live), None)
 
     def open(self, us: int, user: str, protocol: str, ip: str | None, keys: list[str]) -> tuple[dict, bool]:
         name = user.strip().lower()
-        near = [
-            s for s in self.live.values()
-            if s["name"] == name and s["protocol"] == protocol and abs(s["start"] - us) <= MERGE_SECONDS * 1_000_000 and (s["ip"] is None or ip is None or s["ip"] == ip)
-        ]
-        if near:
-            s = min(near, key=lambda x: (abs(x["start"] - us), x["id"]))
+        s = self.nearest(us, name, protocol, ip)
+        if s is not None:
+            self._leave(s)
             s["ip"], s["start"] = s["ip"] or ip, min(s["start"], us)
+            self._enter(s)
             for k in keys:
                 if k not in s["base"]:
                     s["base"].append(k)
@@ -55,7 +97,10 @@ class Tracker:
             return s, True
         seed = f"{self.host}|{name}|{protocol}|{us}|{','.join(keys)}"
         s = {"id": f"S{us}-{hashlib.sha256(seed.encode()).hexdigest()[:6]}", "user": user, "name": name, "protocol": protocol, "ip": ip, "start": us, "base": list(keys), "learned": {}}
+        if s["id"] in self.live:
+            self._leave(self.live[s["id"]])
         self.live[s["id"]] = s
+        self._enter(s)
         for k in keys:
             self.owner[k] = s["id"]
         return s, False
@@ -72,6 +117,7 @@ class Tracker:
                 del self.owner[k]
 
     def close(self, s: dict) -> None:
+        self._leave(s)
         del self.live[s["id"]]
         for k in [*s["base"], *s["learned"]]:
             if self.owner.get(k) == s["id"]:
@@ -98,8 +144,8 @@ class Tracker:
         elif s is None:
             s = self.resolve(keys)
             if s is None and category == "privilege" and user is not None:
-                mine = [x for x in self.live.values() if x["name"] == user.strip().lower()]
-                s = mine[0] if len(mine) == 1 else None
+                mine = self.named.get(user.strip().lower(), {})
+                s = next(iter(mine.values())) if len(mine) == 1 else None
             if s is not None and learn is not None:
                 self.learn(s, learn)
         user, ip = (user if user is not None else s and s["user"]), (ip if ip is not None else s and s["ip"])
@@ -133,27 +179,31 @@ def session_table(tracked: DataFrame) -> DataFrame:
     own = tracked.filter("tracked_session IS NOT NULL").withColumn("id", F.col("tracked_session"))
     end = F.when(F.col("tracked_action") == "session.end", F.col("us"))
     last = F.max_by(F.when(F.col("tracked_action").isin("session.start", "session.reconnect", "auth.success"), "active").when(F.col("tracked_action") == "session.disconnect", "disconnected").when(F.col("tracked_action") == "session.end", "ended"), F.when(F.col("tracked_action").rlike(r"^session\."), F.struct("us", "arrival_seq")))
-    base = own.groupBy("id").agg(
+    return own.groupBy("id").agg(  # in one pass: what is read twice is tracked twice
         F.min_by("tracked_user", F.struct("us", "arrival_seq")).alias("user"),
         F.min_by("tracked_ip", F.struct("us", "arrival_seq")).alias("src_ip"),
         F.max("protocol").alias("protocol"),
         F.min("opened_us").alias("start_us"),
         F.max(end).alias("end_us"),
         last.alias("status"),
+        *_counters(),
     )
-    return base.join(session_counters(own.withColumn("session_id", F.col("id"))).withColumnRenamed("session_id", "id"), "id", "left")
 
 
-def session_counters(events: DataFrame) -> DataFrame:
-    """Per session: commands, privileged, file_changes, alerts, max_severity and last_us."""
-    return events.filter("session_id IS NOT NULL").groupBy("session_id").agg(
+def _counters() -> list[Column]:
+    return [
         F.count(F.when((F.col("category") == "process") & (F.col("action") == "process.start"), 1)).alias("commands"),
         F.count(F.when(F.col("category") == "privilege", 1)).alias("privileged"),
         F.count(F.when(F.col("category") == "file", 1)).alias("file_changes"),
         F.count(F.when(F.col("category") == "alert", 1)).alias("alerts"),
         F.max("severity").alias("max_severity"),
         F.max("us").alias("last_us"),
-    )
+    ]
+
+
+def session_counters(events: DataFrame) -> DataFrame:
+    """Per session: commands, privileged, file_changes, alerts, max_severity and last_us."""
+    return events.filter("session_id IS NOT NULL").groupBy("session_id").agg(*_counters())
 
 
 def inherit(events: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -158,3 +158,35 @@ def test_sessions_whose_processes_are_gone(spark):
     assert sorted(r.id for r in gone.collect()) == ["elsewhere", "gone"]
     e = sessions.unobserved_ends(gone, F.lit(7), False).orderBy("session_id").collect()
     assert [(r.session_id, r.action, r.us, r.src_ip) for r in e] == [("elsewhere", "session.ended_unobserved", 7, "192.0.2.1"), ("gone", "session.ended_unobserved", 7, None)]
+
+
+def test_logins_find_their_session_without_a_look_at_all_others():
+    import random
+
+    class Plain(sessions.Tracker):
+        """Nearest start, then smallest id, of all live sessions."""
+
+        def nearest(self, us, name, protocol, ip):
+            near = [s for s in self.live.values() if s["name"] == name and s["protocol"] == protocol and abs(s["start"] - us) <= sessions.MERGE_SECONDS * 1_000_000 and (s["ip"] is None or ip is None or s["ip"] == ip)]
+            return min(near, key=lambda s: (abs(s["start"] - us), s["id"]), default=None)
+
+    g, rows = random.Random(5), []
+    for us in sorted(g.randrange(3000) * 1_000_000 for _ in range(4000)):
+        kind = g.choice(("session.start", "session.start", "session.end", "privilege.sudo"))
+        rows.append((us, kind, kind.split(".")[0], g.choice(("ann", "Bob", None)), g.choice((None, "a", "b")), g.choice(("ssh", "rdp")), [f"pid:{g.randrange(300)}"], None))
+    a, b = sessions.Tracker("h"), Plain("h")
+    assert [a.event(*r) for r in rows] == [b.event(*r) for r in rows] and len(a.live) > 20
+
+    class Counted(dict):
+        seen = 0
+
+        def values(self):
+            Counted.seen += 1
+            return super().values()
+
+    many = sessions.Tracker("h")
+    many._live = Counted()
+    for k in range(50):
+        many.event(k * 1_000_000_000, "session.start", "session", "ann", f"ip{k}", "ssh", [f"pid:{k}"], None)
+        many.event(k * 1_000_000_000, "privilege.sudo", "privilege", "bob", None, None, ["pid:none"], None)
+    assert len(many.live) == 50 and not Counted.seen

@@ -40,10 +40,16 @@ def group(text: Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are computed once a row, however often they are read: exploded out of an array of one."""
+    row = F.struct(*[v.alias(k) for k, v in columns.items()])
+    return df.select("*", F.explode(F.array(row)).alias("_once")).select(*[f"`{c}`" for c in df.columns], *[F.col(f"_once.{k}").alias(k) for k in columns])
+
+
 def events_of(lines: DataFrame, found: Column, ts: Column | None = None, more_keys: Column | None = None, more_details: Column | None = None) -> DataFrame:
     """The events of lines that have one, with the line's time where the event has none.
 
-    more_keys are put after the event's own keys, more_details (a map) into its details. The event is exploded out of
+    more_keys are put after the event's own keys, more_details (a map) into its details, where they are not null. The event is exploded out of
     an array of none or one: so the optimizer evaluates the parsing once, and not again for the test for null.
     """
     extra = {"_ts": ts, "_keys": more_keys, "_details": more_details}
@@ -53,8 +59,8 @@ def events_of(lines: DataFrame, found: Column, ts: Column | None = None, more_ke
     if ts is not None:
         fields["ts"] = F.coalesce(fields["ts"], F.col("_ts"))
     if more_keys is not None:
-        fields["keys"] = F.concat(F.coalesce(fields["keys"], F.expr("array()").cast("array<string>")), F.col("_keys"))
+        fields["keys"] = F.when(F.col("_keys").isNull(), fields["keys"]).otherwise(F.concat(F.coalesce(fields["keys"], F.expr("array()").cast("array<string>")), F.col("_keys")))
     if more_details is not None:
         own = F.coalesce(F.from_json(fields["details"], "map<string,string>"), F.create_map().cast("map<string,string>"))
-        fields["details"] = F.to_json(F.map_concat(own, F.col("_details")))
+        fields["details"] = F.when(F.col("_details").isNull(), fields["details"]).otherwise(F.to_json(F.map_concat(own, F.col("_details"))))
     return out.select(*[v.alias(k) for k, v in fields.items()], *kept)

@@ -55,7 +55,8 @@ def read_event_xml(texts: DataFrame, column: str = "xml") -> DataFrame:
     """
     each = texts.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<Event[\s>].*?</Event>"), F.lit(0))).alias("_xml"))
     plain = F.regexp_replace("_xml", r"\sxmlns(?::\w+)?=(?:'[^']*'|\"[^\"]*\")", "")
-    e = each.withColumn("_xml", plain).withColumn("e", F.from_xml("_xml", XML, {"rowTag": "Event", "valueTag": "_VALUE"}))
+    # Exploded out of an array of one, so that what follows reads each element's XML once.
+    e = each.select(plain.alias("_xml")).select("_xml", F.explode(F.array(F.from_xml("_xml", XML, {"rowTag": "Event", "valueTag": "_VALUE"}))).alias("e"))
     s = F.col("e.System")
     named = F.filter("e.EventData.Data", lambda d: d["_Name"].isNotNull())
     data = F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda d: d["_Name"])), lambda n: F.struct(n.alias("key"), F.coalesce(F.element_at(F.filter(named, lambda d: d["_Name"] == n), -1)["_VALUE"], F.lit("")).alias("value"))))
@@ -208,9 +209,10 @@ def map_events(raw: DataFrame, self_pid: int = -1) -> DataFrame:
         (p == TERMINAL, terminal_event(n)), ((p == MSI) & n.isin(1033, 1034), msi),
     )
     note = F.create_map(F.lit("win_event_id"), n.cast("string"))
-    own = events_of(raw.filter(p.isin(SECURITY, EVENTLOG, SERVICES, TERMINAL, MSI)), found, F.col("event_ts"), more_details=note)
     # What the SSH service says is an ordinary log message.
     payload = F.coalesce(F.try_element_at("data", F.lit("payload")), F.element_at(F.concat(F.array(F.lit("")), "unnamed"), -1))
-    said = raw.filter(p == OPENSSH).withColumn("_msg", F.regexp_replace(payload, r"^sshd\S*?: ", ""))
-    ssh = events_of(said, sshd_event(F.trim("_msg")), F.col("event_ts"), keys(prefixed("pid", F.col("event_pid"))))
-    return own.select(*EVENT.fieldNames()).unionByName(ssh.select(*EVENT.fieldNames()))
+    ssh = p == OPENSSH
+    said = raw.filter(p.isin(SECURITY, EVENTLOG, SERVICES, TERMINAL, MSI, OPENSSH)).withColumn("_msg", F.when(ssh, F.regexp_replace(payload, r"^sshd\S*?: ", "")))
+    found = F.when(ssh, sshd_event(F.trim("_msg"))).otherwise(found)
+    out = events_of(said, found, F.col("event_ts"), F.when(ssh, keys(prefixed("pid", F.col("event_pid")))), F.when(~ssh, note))
+    return out.select(*EVENT.fieldNames())

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from hostlens.sources import authlog, hosts, journal, packages, winevents
@@ -203,3 +204,35 @@ def test_path_patterns(spark, tmp_path):
     assert find("?/.ssh*/keys") == ["a/.ssh/keys", "b/.ssh/keys", "b/.ssh2/keys"]
     assert find("c/other") == ["c/other"] and find("none") == [] and find("*/none") == []
     assert find("d[1]/*") == ["d[1]/x"]
+
+
+def some_events(tmp_path, kinds):
+    import duckdb
+
+    rows = ", ".join(f"({k}::BIGINT, TIMESTAMP '2024-01-01 00:00:0{k}.5', {k + 3}::BIGINT, '{kind}', 1.0::DOUBLE, '')" for k, kind in enumerate(kinds))
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    con.execute(f"COPY (SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("kind", ["signup", "purchase"])
+def test_windows_events_whose_first_id_is_zero(spark, tmp_path, kind):
+    from hostlens.plans import queries as q
+
+    from .conftest import same_rows
+
+    con = some_events(tmp_path, [kind, "click", "view", "error", "signup", "purchase"])
+    assert same_rows(q.parse_windows_events(spark, str(tmp_path)), con, q.ORACLE_SQL["parse_windows_events"]) == 5
+
+
+def test_auth_log_lines_of_one_row_group_are_many_tasks(spark, tmp_path):
+    from hostlens.plans import queries as q
+
+    some_events(tmp_path, ["signup"] * 9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert q.parse_auth_log(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tty_key
-from .build import event, events_of, group, keys, prefixed
+from .build import event, events_of, group, keys, once, prefixed
 
 # The messages of login services.
 ACCEPTED = r"^Accepted (\S+) for (\S+) from (\S+) port ([0-9]+)(?: ssh2)?(?:: (\S+) (\S+))?"
@@ -39,20 +39,23 @@ def syslog_lines(lines: DataFrame, now: Column, zone: str = "UTC", column: str =
 
     A stamp without a year is of the year of `now`, or of the year before if that were over a day ahead.
     """
-    line = F.regexp_replace(column, r"[\r\n]+$", "")
-    rfc, bsd = group(line, RFC_STAMP, 1), group(line, BSD_STAMP, 1)
+    found = once(lines, _line=F.regexp_replace(column, r"[\r\n]+$", ""))
+    line, rfc, bsd = (F.col(c) for c in ("_line", "_rfc", "_bsd"))
+    found = once(found, _rfc=group(line, RFC_STAMP, 1), _bsd=group(line, BSD_STAMP, 1))
     padded = F.regexp_replace(bsd, r"^(\w{3})\s+([0-9])\b(?![0-9])", "$1 0$2")
 
     def at(year: Column) -> Column:
-        return F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", year.cast("string"), padded), F.lit("yyyy MMM dd HH:mm:ss")), zone)
+        return F.when(bsd.isNotNull(), F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", year.cast("string"), padded), F.lit("yyyy MMM dd HH:mm:ss")), zone))
 
     this = at(F.year(F.from_utc_timestamp(now, zone)))
     old = F.when(this > now + F.expr("INTERVAL 1 DAY"), at(F.year(F.from_utc_timestamp(now, zone)) - 1)).otherwise(this)
     rest = F.ltrim(F.when(rfc.isNotNull(), F.regexp_extract(line, RFC_STAMP, 2)).otherwise(F.regexp_extract(line, BSD_STAMP, 2)))
+    found = once(found, _at=F.coalesce(F.try_to_timestamp(rfc), old), _rest=rest)
     parts = r"^(\S+) (.*?): (.*)$"
-    tag = group(rest, parts, 2)
-    out = lines.withColumns({"ts": F.coalesce(F.try_to_timestamp(rfc), old), "ident": ident_of(tag), "tag_pid": pid_of(tag), "msg": F.regexp_extract(rest, parts, 3)})
-    return out.filter(F.col("ts").isNotNull() & tag.isNotNull())
+    found = once(found, _tag=group(F.col("_rest"), parts, 2), _msg=F.regexp_extract("_rest", parts, 3))
+    tag = F.col("_tag")
+    out = found.withColumns({"ts": F.col("_at"), "ident": ident_of(tag), "tag_pid": pid_of(tag), "msg": F.col("_msg")})
+    return out.filter("_at IS NOT NULL AND _tag IS NOT NULL").drop("_line", "_rfc", "_bsd", "_at", "_rest", "_tag", "_msg")
 
 
 def ident_of(tag: Column) -> Column:

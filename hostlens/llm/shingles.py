@@ -5,10 +5,11 @@ each distinct set deals out only these (its prefix), pairs that meet at a shingl
 shared shingles still allow 0.8, and each one left is confirmed on its whole sets: the pairs found are all there are.
 Any order will do; shingles that are common in a sample of texts come last, so that few pairs meet at them.
 
-Groups of many near copies would make a candidate of every two of their sets. So a first pass deals each set out by
-`BANDS` pairs of its minima under hash functions and pairs it with the first and the one before it of the same band;
-what this links has a label in common. The second pass, which misses nothing, makes candidates only of sets with
-different labels. Candidates meet the sets' parities first, a bit or two for each shingle: they differ in no more bits
+Groups of many near copies would make a candidate of every two of their sets. So a first pass takes the links of SimHash
+fingerprints of these shingles (`simhash.links`), and deals each set out by `BANDS` pairs of its minima under hash
+functions and pairs it with the first and the one before it of the same band; what of this is confirmed has a label in
+common. The second pass, which misses nothing, makes candidates only of sets with
+different labels, and of none whose folded parities already tell them apart. Candidates meet the sets' parities then, a bit or two for each shingle: they differ in no more bits
 than the sets do in shingles, so what differs in too many is not similar, and only the texts of the rest are read again. At a shingle where a set still has more than `FEW` of these it tries that many first, and only what
 they leave apart is paired fully: pairs grow with what differs, not with the square of a group.
 
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import free_name, written
+from . import simhash
 from .simhash import LOWER, SEED, components
 
 WORDS = 5
 BANDS = 3
 FEW = 12
+WIDE = 8
 LINKS = 500_000
 SAMPLE = 20_000
 COMMON = 200_000
@@ -72,6 +75,22 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
+def wide(s: np.ndarray) -> np.ndarray:
+    """As parity, in WIDE words of 64 bits whatever the size; XOR of them has the residues modulo 64."""
+    odd = (np.bincount((s & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(s: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduce(wide(s), keepdims=True)
+
+
+def fingerprint(s: np.ndarray) -> np.uint64:
+    """SimHash of a set: the bits that over half of its shingles have."""
+    ones = np.unpackbits(s.view(np.uint8).reshape(len(s), 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(s)).view(np.uint64)[0]
+
+
 def possible(pa: Column, pb: Column, a: Column, b: Column) -> Column:
     """Whether sets of a and b shingles with these parities can be similar: at most (a + b) / 9 of both are in one only.
 
@@ -122,7 +141,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, sid (a digest of the set), size, prefix, bands and parity of each row of docs (rid, doc_id, text)."""
+    """rid, doc_id, sid (a digest of the set), size, prefix, bands, parity, folded parity and fingerprint of each row of docs (rid, doc_id, text)."""
     ship(docs.sparkSession)
     often, times = common(docs)
 
@@ -139,22 +158,22 @@ def prefixes(docs: DataFrame) -> DataFrame:
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
             size = pa.array([len(s) for s in found], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("rid"), b.column("doc_id"), pa.array(sid), size, *(_lists([f(s) for s in found]) for f in (prefix, bands, parity))],
-                ["rid", "doc_id", "sid", "size", "prefix", "bands", "parity"],
+                [b.column("rid"), b.column("doc_id"), pa.array(sid), size, *(_lists([f(s) for s in found]) for f in (prefix, bands, parity, folded, wide)), pa.array(np.array([fingerprint(s) for s in found], np.uint64).view(np.int64))],
+                ["rid", "doc_id", "sid", "size", "prefix", "bands", "parity", "fold", "wide", "fp"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(each, f"rid long, doc_id {kind}, sid long, size int, prefix array<long>, bands array<long>, parity array<long>")
+    return docs.mapInArrow(each, f"rid long, doc_id {kind}, sid long, size int, prefix array<long>, bands array<long>, parity array<long>, fold array<long>, wide array<long>, fp long")
 
 
 MET = "h long, a long, b long, need int"
 
 
 def _met(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch]:
-    """Rows (h, size, left, sid, label) sorted by h, size and sid -> candidate pairs a < b with different labels.
+    """Rows (h, size, left, sid, label, fold) sorted by h, size and sid -> candidate pairs a < b with different labels.
 
     left is how many shingles a set has from this one on, in an order that all sets have in common: two sets that do not
-    share an earlier one share at most the less of theirs.
+    share an earlier one share at most the less of theirs. fold refuses pairs that differ in too many shingles.
 
     how: "near" pairs a set with the first and the one before it of its h only; "last" makes all pairs that can share
     what they must.
@@ -162,7 +181,7 @@ def _met(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch
     else FEW of them with a need of 0, and the sets of this h again as rows with a = b and their size as need.
     """
     names = ("h", "size", "left", "sid", "label")
-    rest = [np.zeros(0, np.int64)] * 5
+    rest = [np.zeros(0, np.int64)] * 5 + [np.zeros((0, WIDE if how == "last" else 1), np.int64)]
 
     def rows(h, a, b, need) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], ["h", "a", "b", "need"])
@@ -171,19 +190,22 @@ def _met(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch
         """How many shingles the prefixes must share: what is shared beyond them lies in the rest of one of the two."""
         return (4 * (size[x] + size[y]) + 8) // 9 - ((4 * np.maximum(size[x], size[y]) + 4) // 5 - 1)
 
-    def out(h, size, sid, x, y, tried) -> pa.RecordBatch:
-        good = 5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])
+    def close(size, fold, x, y) -> np.ndarray:
+        return 9 * np.bitwise_count((fold[x] ^ fold[y]).view(np.uint64)).sum(1, dtype=np.int64) <= size[x] + size[y]
+
+    def out(h, size, sid, fold, x, y, tried) -> pa.RecordBatch:
+        good = (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])) & close(size, fold, x, y)
         x, y, tried = x[good], y[good], tried[good]
         return rows(h[x], np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), np.where(tried, 0, needed(size, x, y)))
 
-    def pairs(h, size, left, sid, label) -> Iterator[pa.RecordBatch]:
+    def pairs(h, size, left, sid, label, fold) -> Iterator[pa.RecordBatch]:
         new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
         start = np.flatnonzero(new)
         n = np.diff(np.append(start, len(h)))
         if how == "near":
             own = np.flatnonzero(~new)
             first = np.repeat(start, n)[own]
-            yield out(h, size, sid, np.append(own, own), np.append(own - 1, first), np.zeros(2 * len(own), bool))
+            yield out(h, size, sid, fold, np.append(own, own), np.append(own - 1, first), np.zeros(2 * len(own), bool))
             return
         two = start[n == 2]
         two = two[label[two] != label[two + 1]]
@@ -202,6 +224,7 @@ def _met(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch
             for k, i, j in zip(other, low, high, strict=True):
                 c = np.arange(i, j)
                 c = c[(where[c] != where[k]) & ((where[c] == most) | (c < k))]
+                c = c[close(size, fold, s + c, np.full(len(c), s + k))]
                 tried = how == "few" and len(c) > FEW
                 if tried or how == "last":
                     c = c[np.minimum(left[s + c], left[s + k]) >= needed(size, s + c, s + k)]
@@ -213,16 +236,18 @@ def _met(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch
                 free.append(np.full(len(c), tried))
                 held += len(c)
                 if held > 1 << 18:
-                    yield out(h, size, sid, np.concatenate(xs), np.concatenate(ys), np.concatenate(free))
+                    yield out(h, size, sid, fold, np.concatenate(xs), np.concatenate(ys), np.concatenate(free))
                     xs, ys, free, held = [], [], [], 0
             if crowd:
                 own = slice(s, s + m)
                 yield rows(h[own], sid[own], sid[own], size[own])
         if xs:
-            yield out(h, size, sid, np.concatenate(xs), np.concatenate(ys), np.concatenate(free))
+            yield out(h, size, sid, fold, np.concatenate(xs), np.concatenate(ys), np.concatenate(free))
 
     for b in batches:
-        cols = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, names, strict=True)]
+        own = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+        own.append(b.column("fold").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else rest[-1][:0])
+        cols = [np.concatenate(x) for x in zip(rest, own, strict=True)]
         cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last shingle may go on
         yield from pairs(*[c[:cut] for c in cols])
         rest = [c[cut:] for c in cols]
@@ -230,10 +255,21 @@ def _met(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch
 
 
 def _dealt(rows: DataFrame, how: str) -> DataFrame:
-    rows = rows.select("h", "size", "left", "sid", "label")
+    rows = rows.select("h", "size", "left", "sid", "label", "fold")
     return rows.repartition("h").sortWithinPartitions("h", "size", "sid").mapInArrow(lambda b: _met(b, how), MET)
 
 
+def _fingerprinted(sets: DataFrame) -> DataFrame:
+    """Candidate pairs a < b of sets with equal fingerprints or such as simhash.links connects; linear in the sets."""
+    own = sets.select("sid", "fp")
+    heads = written(own.groupBy("fp").agg(F.min("sid").alias("head")), "fingerprints")
+    found = simhash.links(heads.select("fp"))
+    side = lambda c, x: heads.select(F.col("fp").alias(c), F.col("head").alias(x))
+    linked = found.join(side("src", "x"), "src").join(side("dst", "y"), "dst").select("x", "y")
+    same = own.join(heads, "fp").filter("sid <> head").select("sid", "head")
+    return linked.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found in _texts(batches):
@@ -299,11 +335,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = F.xxhash64("doc_id", "text")
     texts = docs.select(own.alias("rid"), "doc_id", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    sets = prefixes(texts).groupBy("sid").agg(first, *[F.any_value(c).alias(c) for c in ("size", "prefix", "bands", "parity")])
+    sets = prefixes(texts).groupBy("sid").agg(first, *[F.any_value(c).alias(c) for c in ("size", "prefix", "bands", "parity", "fold", "wide", "fp")])
     sets = written(sets, "shingles")
     nodes = sets.select(F.col("sid").alias("node"), F.col("sid").alias("id"))
-    rows = sets.select("sid", "size", F.explode("bands").alias("h"), F.lit(0).alias("left"), F.col("sid").alias("label"))
-    links = contracted(_confirmed(_dealt(rows, "near"), sets, texts))
+    rows = sets.select("sid", "size", F.explode("bands").alias("h"), F.lit(0).alias("left"), F.col("sid").alias("label"), "fold")
+    near = _dealt(rows, "near").select("a", "b").union(_fingerprinted(sets))
+    links = contracted(_confirmed(near, sets, texts))
     reach = components(nodes, links)
 
     def labelled(x: DataFrame, *columns: str) -> DataFrame:
@@ -315,7 +352,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             return reach
         return components(nodes, reach.filter("node <> id").select(F.col("node").alias("src"), F.col("id").alias("dst")).union(contracted(more)))
 
-    rows = labelled(sets.select("sid", "size", "prefix"), "prefix").select("*", F.posexplode("prefix").alias("pos", "h")).withColumn("left", F.size("prefix") - F.col("pos"))
+    rows = labelled(sets.select("sid", "size", "prefix", "fold"), "prefix", "fold").select("*", F.posexplode("prefix").alias("pos", "h")).withColumn("left", F.size("prefix") - F.col("pos"))
     met = written(_dealt(rows, "few"), "candidates")
     crowd = met.filter("a = b").select("h", F.col("need").alias("size"), F.col("a").alias("sid"))
     # Pairs share what they share where they were made, and at most all their crowded shingles.
@@ -330,7 +367,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         often = crowd.groupBy("h").agg(F.count("*").alias("df"))
         order = Window.partitionBy("sid").orderBy("df", "h")
         ranked = crowd.join(busy, "sid").join(often, "h").withColumn("left", (F.col("n") - F.row_number().over(order) + 1).cast("int"))
-        reach = further(_confirmed(_dealt(labelled(ranked, "h", "left"), "last"), sets, texts))
+        ranked = ranked.join(sets.select("sid", F.col("wide").alias("fold")), "sid")  # few rows, so the wide parities
+        reach = further(_confirmed(_dealt(labelled(ranked, "h", "left", "fold"), "last"), sets, texts))
     chosen = sets.join(reach.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("id", "sid").alias("group")).agg(F.min("first").alias("first"))
     out = docs.withColumn(rid, own).join(chosen.select(F.col("first.rid").alias(rid)), rid, "left_semi")
     # Repeated rows go here; another hash tells rows apart whose rid is the same by chance.

@@ -19,6 +19,8 @@ HISTORY_SECONDS = 120
 TRIGGER_SECONDS, RECOVERY_SECONDS, POST_SECONDS = 30, 30, 30
 LEAST_SHARE, LEAST_SCORE = 0.02, 40.0
 MOST_CANDIDATES, MOST_RELATED, LOOKBACK_SECONDS = 5, 60, 1800
+#: related(): length of a cell of time, cells that are summed up together, and events that an incident meets at once.
+CELL_US, SPAN_CELLS, BLOCK_EVENTS = 1_800_000_000, 256, 64
 
 
 def with_levels(samples: DataFrame, thresholds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -242,24 +244,53 @@ def incident_events(reports: DataFrame) -> DataFrame:
 # -- related changes --------------------------------------------------------------------------------------------
 
 
+def _earlier(cells: DataFrame) -> DataFrame:
+    """host, _cell, _earlier: the _n of the host's earlier cells. Cells are summed by spans first, so no task has all of a host's."""
+    cells = cells.withColumn("_span", F.floor(F.col("_cell") / SPAN_CELLS))
+    before = lambda n, *keys: F.coalesce(F.sum(n).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = cells.groupBy("host", "_span").agg(F.sum("_n").alias("_n")).select("host", "_span", before("_n", "host", "_span").alias("_spans"))
+    return cells.withColumn("_cells", before("_n", "host", "_span", "_cell")).join(spans, ["host", "_span"], "left").select("host", "_cell", (F.col("_spans") + F.col("_cells")).alias("_earlier"))
+
+
 def related(incidents: DataFrame, events: DataFrame, lookback: int = LOOKBACK_SECONDS, most: int = MOST_RELATED, compat: bool = False) -> DataFrame:
     """Events of an incident's host from `lookback` before its start to its end, with offset_seconds (toward zero).
 
     incidents: incident_id, host, start_us, end_us. Of more than `most` the newest are kept; compat keeps the oldest.
-    The join is on host and time bucket; an incident asks in the buckets it touches.
+    A host's events are numbered in time order, by cells of time. The two ends of an incident are counted in the same
+    order, which tells the numbers it keeps; it meets only the blocks of BLOCK_EVENTS events that hold those, so the
+    join makes no more rows than the result needs, however dense the events are.
     """
-    width = lookback * 1_000_000
-    end = F.coalesce("end_us", "start_us")
-    i = incidents.select("incident_id", F.col("host").alias("_host"), "start_us", end.alias("_end"), *[c for c in ("probable_cause",) if c in incidents.columns])
-    i = i.withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("start_us") - width) / width), F.floor(F.col("_end") / width))))
-    e = events.withColumn("_at", F.floor(F.col("us") / width))
-    near = (F.col("host") == F.col("_host")) & (F.col("_at") == F.col("_bucket")) & (F.col("us") >= F.col("start_us") - width) & (F.col("us") <= F.col("_end"))
-    hits = e.join(i, near)
+    kept = [c for c in ("probable_cause",) if c in incidents.columns]
+    own = ["incident_id", "host", "start_us", "_end", *kept]
+    i = incidents.withColumn("_end", F.coalesce("end_us", "start_us")).select(*own).filter("host IS NOT NULL AND start_us IS NOT NULL")
+    cell = F.floor(F.col("us") / CELL_US).alias("_cell")
+    e = events.filter("host IS NOT NULL AND us IS NOT NULL").withColumn("_cell", cell)
+    # Of rows at one time, the start of a window comes before the events, its end after them.
+    ends = i.withColumn("_mark", F.explode(F.array(F.struct((F.col("start_us") - lookback * 1_000_000).alias("us"), F.lit(0).alias("kind")), F.struct(F.col("_end").alias("us"), F.lit(2).alias("kind")))))
+    ends = ends.select("*", "_mark.us", F.col("_mark.kind").alias("_kind")).drop("_mark").withColumn("_cell", cell)
+    rows = e.select("host", "us", "_cell", F.lit(1).alias("_kind")).unionByName(ends, allowMissingColumns=True)
+    earlier = _earlier(rows.groupBy("host", "_cell").agg(F.count_if(F.col("_kind") == 1).alias("_n")))
+
+    cells = Window.partitionBy("host", "_cell")
+    counted = rows.withColumn("_n", F.count_if(F.col("_kind") == 1).over(cells.orderBy("us", "_kind").rowsBetween(Window.unboundedPreceding, 0))).filter("_kind <> 1")
+    counted = counted.join(earlier, ["host", "_cell"]).withColumn("_n", F.col("_n") + F.col("_earlier"))
+    i = counted.groupBy(*own).agg(F.max(F.when(F.col("_kind") == 0, F.col("_n"))).alias("_after"), F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_to"), F.count_if(F.col("_kind") == 2).alias("_copies"))
+    i = i.withColumn("_same", F.sum("_copies").over(Window.partitionBy("incident_id")))
+    i = i.withColumn("_to", F.least("_to", F.col("_after") + most)) if compat else i.withColumn("_after", F.greatest("_after", F.col("_to") - most))
+    i = i.filter("_after < _to").withColumn("_block", F.explode(F.sequence(F.floor(F.col("_after") / BLOCK_EVENTS), F.floor((F.col("_to") - 1) / BLOCK_EVENTS))))
+    i = i.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).withColumnRenamed("host", "_host")
+
+    e = e.withColumn("_n", F.row_number().over(cells.orderBy("us", "id"))).join(earlier, ["host", "_cell"]).withColumn("_n", F.col("_n") + F.col("_earlier"))
+    e = e.withColumn("_at", F.floor((F.col("_n") - 1) / BLOCK_EVENTS))
+    hits = i.join(e, (F.col("host") == F.col("_host")) & (F.col("_at") == F.col("_block")) & (F.col("_n") > F.col("_after")) & (F.col("_n") <= F.col("_to")))
+    hits = hits.select("_same", *events.columns, "incident_id", "start_us", *kept)
+    # Incidents of one id share the `most` rows.
     order = [F.col("us").asc(), F.col("id").asc()] if compat else [F.col("us").desc(), F.col("id").desc()]
-    hits = hits.withColumn("_n", F.row_number().over(Window.partitionBy("incident_id").orderBy(*order))).filter(F.col("_n") <= most)
+    shared = hits.filter("_same > 1").withColumn("_n", F.row_number().over(Window.partitionBy("incident_id").orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+    hits = hits.filter("_same = 1").unionByName(shared).drop("_same")
     offset = ((F.col("us") - F.col("start_us")) / 1_000_000).cast("long")
     who = F.when(F.col("category").isin("file", "package", "service"), F.coalesce(F.concat(F.lit(" by "), "user"), F.lit(""))).otherwise("")
-    return hits.withColumns({"offset_seconds": offset, "summary": truncate_bytes(F.concat("message", who), 300)}).drop("_host", "_bucket", "_at", "_end", "_n")
+    return hits.withColumns({"offset_seconds": offset, "summary": truncate_bytes(F.concat("message", who), 300)})
 
 
 def is_change(action: Column) -> Column:

@@ -80,6 +80,63 @@ def test_related_changes(spark):
     assert {x.id for x in I.related(i, e, most=2, compat=True).collect()} == {2, 1}
 
 
+def brute_related(incidents, events, lookback, most, compat):
+    """related() pair by pair: (incident_id, event id, offset_seconds), sorted."""
+    found = {}
+    for name, host, start, end, _ in incidents:
+        if host is None or start is None:
+            continue
+        end = start if end is None else end
+        near = [(us, k) for k, us, h, *_ in events if h == host and us is not None and start - lookback * S <= us <= end]
+        found.setdefault(name, []).extend((us, k, int((us - start) / S)) for us, k in near)
+    return sorted((str(name), k, o) for name, rows in found.items() for _, k, o in sorted(rows, key=lambda r: r[:2], reverse=not compat)[:most])
+
+
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("cell, span, block", [(I.CELL_US, I.SPAN_CELLS, I.BLOCK_EVENTS), (7 * S, 3, 4), (S, 1, 1)])
+def test_related_equals_all_pairs(spark, monkeypatch, compat, cell, span, block):
+    import random
+
+    for name, value in (("CELL_US", cell), ("SPAN_CELLS", span), ("BLOCK_EVENTS", block)):
+        monkeypatch.setattr(I, name, value)
+    g = random.Random(5)
+    # Many events at one time, before 1970 too; some without a time or a host.
+    events = [(k, None if k % 41 == 0 else g.randrange(-40, 160) * S + g.choice((0, 0, 1, 999_999)), g.choice(("a", "a", "a", "b", None)), "file", "file.modified", None, f"m{k}") for k in range(400)]
+    incidents = [(f"I{k}", g.choice(("a", "b", "none", None)), None if k % 17 == 0 else (s := g.randrange(-30, 170) * S), None if k % 5 == 0 else s + g.choice((-30, -3, 0, 0, 7, 90)) * S, "x") for k in range(1, 60)]
+    incidents += [("twice", "a", 50 * S, 60 * S, "x")] * 2 + [("both", "a", 30 * S, 40 * S, "x"), ("both", "b", 35 * S, 45 * S, "y"), (None, "a", 90 * S, 95 * S, None), (None, "b", 20 * S, 25 * S, "z")]
+    e = spark.createDataFrame(events, "id long, us long, host string, category string, action string, user string, message string")
+    i = spark.createDataFrame(incidents, "incident_id string, host string, start_us long, end_us long, probable_cause string")
+    for lookback, most in ((20, 6), (60, 9), (0, 3), (1000, 10_000)):
+        got = I.related(i, e, lookback, most, compat)
+        assert got.columns == [*e.columns, "incident_id", "start_us", "probable_cause", "offset_seconds", "summary"]
+        assert sorted((str(r.incident_id), r.id, r.offset_seconds) for r in got.collect()) == brute_related(incidents, events, lookback, most, compat)
+    assert I.related(i.limit(0), e).count() == 0 and I.related(i, e.limit(0)).count() == 0
+
+
+def joined_rows(df):
+    """Rows that all joins of a plan made, after the plan was run."""
+
+    def walk(node):
+        made = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
+        return made + sum(walk(node.children().apply(k)) for k in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_related_makes_no_pairs_that_it_drops(spark):
+    # 2,000 events and 300 incidents of a host in half an hour: 600,000 pairs, of which 18,000 are kept.
+    e = spark.range(2000).selectExpr("id", "id * 500000 AS us", "'h' AS host", "'file' AS category", "'file.modified' AS action", "'u' AS user", "'m' AS message")
+    i = spark.range(300).selectExpr("concat('I', id) AS incident_id", "'h' AS host", "(1000 + id) * 1000000 AS start_us", "(1600 + id) * 1000000 AS end_us")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan that was run is in parts
+    try:
+        got = I.related(i, e)
+        assert len(got.collect()) == 18_000
+        assert joined_rows(got) < 30_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_report(spark):
     i = spark.createDataFrame([("h", "cpu", 0, 100 * S, 70 * S, "db"), ("g", "disk", 5 * S, 10 * S, 9 * S, "x")], "host string, kind string, start_us long, end_us long, recovered_us long, probable_cause string")
     got = {r.host: r for r in I.report(i).collect()}

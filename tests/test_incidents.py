@@ -137,6 +137,30 @@ def test_related_makes_no_pairs_that_it_drops(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+@pytest.mark.parametrize("name", ["related_activity_interval", "nearest_changes_topk"])
+def test_related_queries_over_dense_events(spark, sf, tmp_path, name):
+    # The events ten times, their month squeezed into an hour and a half: most incidents have more than 60 in reach.
+    import duckdb
+
+    from hostlens.plans import queries as q
+
+    from .conftest import same_rows
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    con.sql(f"CREATE TABLE events AS SELECT event_id + 100000 * k AS event_id, make_timestamp(epoch_us(ts) // 480) AS ts, user_id + 1500 * k AS user_id, event_type, value, props FROM '{sf}/events.parquet', range(10) r(k)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = q.QUERIES[name](spark, str(tmp_path))
+        got.collect()
+        assert joined_rows(got) < 3 * con.sql("SELECT count(*) FROM events").fetchall()[0][0]
+        assert same_rows(got, con, q.ORACLE_SQL[name]) > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_report(spark):
     i = spark.createDataFrame([("h", "cpu", 0, 100 * S, 70 * S, "db"), ("g", "disk", 5 * S, 10 * S, 9 * S, "x")], "host string, kind string, start_us long, end_us long, recovered_us long, probable_cause string")
     got = {r.host: r for r in I.report(i).collect()}
